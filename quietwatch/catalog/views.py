@@ -160,7 +160,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TELEMETRY_SQL = """
 raw AS (
-  SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS t,
+  SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t,
          CAST(json_extract_string(props, '$.k') AS INT) AS k
   FROM events
 ), telemetry AS (

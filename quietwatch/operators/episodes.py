@@ -12,6 +12,7 @@ from quietwatch.functions.ordered import (
     prefix_states,
     slice_hot_keys,
     with_all_true,
+    with_last_seen,
     with_previous,
 )
 from quietwatch.functions.percentiles import nearest_rank_struct
@@ -171,6 +172,7 @@ def stale_pairs(sliced: Sliced, limit: int = STALE_AFTER_REPORTS) -> DataFrame:
         "_interval",
         "_policy_version",
         "_weak",
+        "_gap_state",
         "_device_clock",
     )
     islands = (
@@ -215,6 +217,7 @@ def _sample(kind: Column, missed: Column) -> list[Column]:
         missed.cast("bigint").alias("missed_reports"),
         F.col("_policy_version").alias("policy_version"),
         F.col("_weak").alias("weak_basis"),
+        F.col("_gap_state").alias("state_at_gap"),
     ]
 
 
@@ -238,6 +241,7 @@ def judge_pairs(
             "_late": F.coalesce(late, F.lit(False)),
             "_policy_version": F.col("_prev.policy.version"),
             "_weak": weak_basis(F.col("_prev.state"), provenance),
+            "_gap_state": F.col("_prev.state"),
             "_held": held,
         }
     ).withColumn(
@@ -354,6 +358,7 @@ def trailing_silence(
             F.lit(1).cast("bigint").alias("missed_reports"),
             F.col("_last.policy.version").alias("policy_version"),
             weak_basis(F.col("_last.state"), F.col("_last.policy.provenance")).alias("weak_basis"),
+            F.col("_last.state").alias("state_at_gap"),
             from_ms("_deadline").alias("deadline_at"),
         )
     )
@@ -382,8 +387,6 @@ def last_and_next_fix(episodes: DataFrame, events: DataFrame) -> DataFrame:
     Only closed episodes have both sides.  The fixes are laid beside the episode borders of the
     same device in time order, so no episode is paired with every event of its device.
     """
-    from quietwatch.functions.ordered import with_last_seen
-
     fix = F.struct(
         ms(F.coalesce("device_time", "received_at")).alias("at_ms"),
         F.col("position.lat").alias("lat"),

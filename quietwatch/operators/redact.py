@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What counts as sensitive in free text.  ``\w``, ``\d`` and ``\b`` are ASCII.
+# What counts as sensitive in free text.  Word characters and borders are ASCII.
 SENSITIVE_PATTERNS = {
     "coordinates": r"-?\d{1,3}\.\d{4,}\s*[,;]\s*-?\d{1,3}\.\d{4,}",
     "lat_lon_field": r'(?i)"(lat|latitude|lon|lng|longitude)"\s*:\s*-?\d{1,3}\.\d{3,}',
     "msisdn": r"(?:\+?254|0)7\d{8}",
-    "imei": r"\b\d{15}\b",
+    "imei": r"(?<![A-Za-z0-9_])\d{15}(?![A-Za-z0-9_])",
     "email": r"[\w.+-]+@[\w-]+\.[\w.]+",
 }
 REDACTED = "[REDACTED]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quietwatch.catalog.telemetry_queries import WINDOWS_SQL, region_windows
-from quietwatch.catalog.views import EPISODES_SQL, POLICY, TELEMETRY_SQL, telemetry
+from quietwatch.catalog.views import EPISODES_SQL, POLICY, TELEMETRY_SQL, shared, telemetry
 from quietwatch.functions.scalars import from_ms, ms
 from quietwatch.operators import classify, decisions, episodes, facts, listing, peers, queue, redact, rules, sla
 from quietwatch.plans import evidence
@@ -66,14 +66,29 @@ CANDIDATES_SQL = EPISODES_SQL + """, placed AS (
 )"""
 
 
-def _samples(events):
-    return episodes.with_episode_id(episodes.sample_episodes(events, POLICY))
+def samples(spark, sf_dir):
+    return shared(
+        spark,
+        sf_dir,
+        "samples",
+        lambda: episodes.with_episode_id(episodes.sample_episodes(telemetry(spark, sf_dir), POLICY)),
+    )
 
 
 def _assigned(spark, sf_dir):
-    events = telemetry(spark, sf_dir)
-    candidates = evidence.candidates_for(_samples(events), events)
-    return candidates, peers.assign_clusters(peers.dimension_keys(candidates), WINDOW_S)
+    candidates = shared(
+        spark,
+        sf_dir,
+        "candidates",
+        lambda: evidence.candidates_for(samples(spark, sf_dir), telemetry(spark, sf_dir)),
+    )
+    assigned = shared(
+        spark,
+        sf_dir,
+        "assigned",
+        lambda: peers.assign_clusters(peers.dimension_keys(candidates), WINDOW_S),
+    )
+    return candidates, assigned
 
 
 @query(
@@ -82,8 +97,7 @@ def _assigned(spark, sf_dir):
     CANDIDATES_SQL,
 )
 def peer_dimension_keys(spark, sf_dir):
-    events = telemetry(spark, sf_dir)
-    keyed = peers.dimension_keys(evidence.candidates_for(_samples(events), events))
+    keyed = peers.dimension_keys(_assigned(spark, sf_dir)[0])
     return keyed.groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("candidates"))
 
 
@@ -210,11 +224,18 @@ FACTS_SQL = PEERS_SQL + WINDOWS_SQL + ", " + DEVICE_SQL + """, gap_state AS (
 
 
 def _facts(spark, sf_dir):
-    events = telemetry(spark, sf_dir)
-    samples = _samples(events)
-    candidates, assigned = _assigned(spark, sf_dir)
-    peer_rows = peers.peer_facts(candidates, assigned, peers.clusters(assigned))
-    return evidence.episode_facts(samples, events, POLICY, peer_rows, region_windows(spark, sf_dir))
+    def build():
+        candidates, assigned = _assigned(spark, sf_dir)
+        peer_rows = peers.peer_facts(candidates, assigned, peers.clusters(assigned))
+        return evidence.episode_facts(
+            samples(spark, sf_dir),
+            telemetry(spark, sf_dir),
+            POLICY,
+            peer_rows,
+            region_windows(spark, sf_dir),
+        )
+
+    return shared(spark, sf_dir, "facts", build)
 
 
 @query(
@@ -228,7 +249,7 @@ def episode_facts(spark, sf_dir):
 
 @query(
     "unavailable_facts",
-    """SELECT fact, reason, count(*) AS episodes FROM (SELECT unnest([
+    """SELECT u.f AS fact, u.r AS reason, count(*) AS episodes FROM (SELECT unnest([
       CASE WHEN device_model_fault_pattern IS NULL THEN {'f': 'device.model_fault_pattern',
         'r': 'no reviewed fault-pattern analysis for this model'} END,
       CASE WHEN gnss_jamming_alert IS NULL THEN {'f': 'gnss.jamming_alert', 'r': CASE WHEN device_sleep_state_before_gap = 'deep_sleep'
@@ -241,7 +262,7 @@ def episode_facts(spark, sf_dir):
       CASE WHEN movement_moving_before_gap IS NULL THEN {'f': 'movement.moving_before_gap', 'r': 'not supplied to fact derivation'} END,
       CASE WHEN power_external_state_before_gap IS NULL THEN {'f': 'power.external_state_before_gap', 'r': 'not supplied to fact derivation'} END,
       CASE WHEN device_sleep_state_before_gap IS NULL THEN {'f': 'device.sleep_state_before_gap', 'r': 'not supplied to fact derivation'} END
-    ]) AS u, u.f AS fact, u.r AS reason FROM facts) WHERE u IS NOT NULL GROUP BY fact, reason""",
+    ]) AS u FROM facts) WHERE u IS NOT NULL GROUP BY ALL""",
     FACTS_SQL,
 )
 def unavailable_facts(spark, sf_dir):
@@ -352,7 +373,12 @@ def rule_outcomes(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    return classify.classify(_facts(spark, sf_dir), from_ms(F.lit(CLASSIFY_MS)))
+    return shared(
+        spark,
+        sf_dir,
+        "classified",
+        lambda: classify.classify(_facts(spark, sf_dir), from_ms(F.lit(CLASSIFY_MS))),
+    )
 
 
 @query(
@@ -514,7 +540,7 @@ def suggestions(spark, sf_dir):
 )
 def queue_statistics(spark, sf_dir):
     events = telemetry(spark, sf_dir)
-    return sla.dashboard(_items(spark, sf_dir), events, _samples(events))
+    return sla.dashboard(_items(spark, sf_dir), events, samples(spark, sf_dir))
 
 
 @query(
@@ -522,7 +548,7 @@ def queue_statistics(spark, sf_dir):
     "SELECT episode_id, type, start_ms FROM episodes ORDER BY start_ms DESC, episode_id LIMIT 5",
 )
 def recent_episodes(spark, sf_dir):
-    found = listing.recent(_samples(telemetry(spark, sf_dir)))
+    found = listing.recent(samples(spark, sf_dir))
     return found.select("episode_id", "type", ms("start_at").alias("start_ms"))
 
 
@@ -532,7 +558,7 @@ def recent_episodes(spark, sf_dir):
     AND type = 'total_silence' ORDER BY start_ms, episode_id LIMIT 51""",
 )
 def episode_page(spark, sf_dir):
-    found = _samples(telemetry(spark, sf_dir)).withColumn("state", F.col("type"))
+    found = samples(spark, sf_dir).withColumn("state", F.col("type"))
     cursor = listing.encode_cursor("2024-01-10T00:00:00.000Z", "ep_8")
     page = listing.page_rows(found, cursor=cursor, state="total_silence")
     return page.select("episode_id", "device_ref", "type", ms("start_at").alias("start_ms"))
@@ -588,6 +614,6 @@ def redaction_violations(spark, sf_dir):
 
     events = telemetry(spark, sf_dir)
     found = redact.check_redaction(
-        {"completeness": quality.completeness(events), "episodes": _samples(events).drop("state_at_gap")}
+        {"completeness": quality.completeness(events), "episodes": samples(spark, sf_dir).drop("state_at_gap")}
     )
     return spark.createDataFrame([(v.code, v.path) for v in found], "code string, path string")

@@ -28,6 +28,18 @@ POLICY = ReportingPolicy(
 )
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """An intermediate frame that many queries read, planned once per session and persisted."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        configure(spark)
+        _SHARED[key] = build().persist()
+    return _SHARED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -195,16 +195,17 @@ def prefix_states(
     first: Column,
     step: Callable[[Column, Column], Column],
     chunk: int = 256,
+    kind: str = "int",
 ) -> Column:
-    """State before each item of a left fold over an integer array.
+    """State before each item of a left fold over an array; ``kind`` is the type of the state.
 
     Appending to one long accumulator copies it each time, so the fold runs over chunks and only
     joins their results; the cost stays close to linear.
     """
     def state(value: Column) -> Column:
-        return value.cast("int")
+        return value.cast(kind)
 
-    empty = F.array().cast("array<int>")
+    empty = F.array().cast(f"array<{kind}>")
     chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / chunk), F.lit(0)))
 
     def run_chunk(accumulated: Column, index: Column) -> Column:
@@ -223,6 +224,6 @@ def prefix_states(
         )
 
     start = F.struct(
-        state(first).alias("state"), F.array().cast("array<array<int>>").alias("parts")
+        state(first).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("parts")
     )
     return F.flatten(F.aggregate(chunks, start, run_chunk)["parts"])

@@ -6,9 +6,10 @@ import bisect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietwatch.functions.ordered import HOT_ROWS, prefix_states
 from quietwatch.functions.scalars import from_ms, ms, ratio
 
 DEFAULT_MINIMUM = 3
@@ -116,39 +117,87 @@ def _block_anchors(window: int):
     return anchors
 
 
-def assign_clusters(members: DataFrame, window_s: int = DEFAULT_WINDOW_S) -> DataFrame:
-    """Add ``cluster_start_ms``: the first start of the burst a member belongs to.
+def _anchors_by_piece(starts: DataFrame, window: int) -> DataFrame:
+    """Anchor of every distinct start of keys of ordinary size.
 
-    A burst spans at most the window from its *first* start, so the anchors of one key form a chain.
-    A busy key (one source can hold a third of all episodes) is cut into time blocks of distinct
-    starts.  Each block reports, for every way a chain can enter it, the anchor it leaves with;
-    chains merge quickly, so that report is short.  One small pass per key connects the blocks, and
-    every block then lists its own anchors.
+    A pause longer than the window always starts a new burst, so the pieces between such pauses are
+    independent and each folds on its own.
+    """
+    w = Window.partitionBy(*_KEYS).orderBy("start_ms")
+    pause = F.col("start_ms") - F.lag("start_ms").over(w) > window
+    pieces = (
+        starts.withColumn("_cut", F.coalesce(pause, F.lit(True)).cast("int"))
+        .withColumn("_piece", F.sum("_cut").over(w))
+        .groupBy(*_KEYS, "_piece")
+        .agg(F.array_sort(F.collect_list("start_ms")).alias("_starts"))
+    )
+
+    def follow(anchor: Column, start: Column) -> Column:
+        return F.when(start - anchor > window, start).otherwise(anchor)
+
+    first = F.get("_starts", F.lit(0))
+    before = prefix_states(F.col("_starts"), first, follow, kind="bigint")
+    return pieces.select(
+        *_KEYS,
+        F.inline(
+            F.zip_with(
+                "_starts",
+                before,
+                lambda s, a: F.struct(s.alias("start_ms"), follow(a, s).alias("cluster_start_ms")),
+            )
+        ),
+    )
+
+
+def _anchors_by_block(starts: DataFrame, window: int) -> DataFrame:
+    """Anchor of every distinct start of busy keys, one task per time block of a key.
+
+    Each block reports, for every way a chain can enter it, the anchor it leaves with; chains merge
+    quickly, so that report is short.  One small pass per key connects the blocks (its size is the
+    number of blocks, not of starts), and every block then lists its own anchors.
     """
-    window, block = window_s * 1000, window_s * 1000 * WINDOWS_PER_BLOCK
+    block = window * WINDOWS_PER_BLOCK
     keys = "tenant_id string, dimension string, key string, block bigint"
-    blocked = members.withColumn("block", F.floor(F.col("start_ms") / block))
-    starts = blocked.select(*_KEYS, "block", "start_ms").distinct()
-    effects = starts.groupBy(*_KEYS, "block").applyInPandas(
+    blocked = starts.withColumn("block", F.floor(F.col("start_ms") / block))
+    effects = blocked.groupBy(*_KEYS, "block").applyInPandas(
         _block_effects(window, block),
         f"{keys}, entry_until array<bigint>, last_anchor array<bigint>",
     )
     entries = effects.groupBy(*_KEYS).applyInPandas(_block_entries(window), f"{keys}, carried bigint")
     anchors = (
-        starts.groupBy(*_KEYS, "block")
+        blocked.groupBy(*_KEYS, "block")
         .cogroup(entries.groupBy(*_KEYS, "block"))
         .applyInPandas(_block_anchors(window), f"{keys}, anchors array<bigint>")
     )
-    return (
-        blocked.join(anchors, [*_KEYS, "block"])
-        .withColumn(
-            "cluster_start_ms",
-            F.array_max(F.filter("anchors", lambda a: a <= F.col("start_ms"))),
-        )
-        .drop("anchors", "block")
+    anchor = F.array_max(F.filter("anchors", lambda a: a <= F.col("start_ms")))
+    return blocked.join(anchors, [*_KEYS, "block"]).select(
+        *_KEYS, "start_ms", anchor.alias("cluster_start_ms")
     )
 
 
+def assign_clusters(
+    members: DataFrame, window_s: int = DEFAULT_WINDOW_S, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``cluster_start_ms``: the first start of the burst a member belongs to.
+
+    A burst spans at most the window from its *first* start, so the anchors of one key form a chain.
+    Only distinct starts matter, and they are reduced before they move.  Keys with more than
+    ``hot_rows`` distinct starts (one source can hold a third of all episodes) go through time
+    blocks; their list is bounded by rows divided by ``hot_rows``, hence the broadcasts.
+    """
+    window = window_s * 1000
+    starts = members.select(*_KEYS, "start_ms").distinct()
+    busy = starts.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    if busy.isEmpty():
+        anchored = _anchors_by_piece(starts, window)
+    else:
+        hot = F.broadcast(busy.select(*_KEYS))
+        anchored = _anchors_by_piece(starts.join(hot, _KEYS, "left_anti"), window).unionByName(
+            _anchors_by_block(starts.join(hot, _KEYS, "left_semi"), window)
+        )
+    return members.join(anchored, [*_KEYS, "start_ms"])
+
+
 _CLUSTER = [*_KEYS, "cluster_start_ms"]
 
 

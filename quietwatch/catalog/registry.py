@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quietwatch.catalog import evidence_queries, telemetry_queries
+from quietwatch.catalog import case_queries, evidence_queries, telemetry_queries
 
-_MODULES = (telemetry_queries, evidence_queries)
+_MODULES = (telemetry_queries, evidence_queries, case_queries)
 
 QUERIES = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

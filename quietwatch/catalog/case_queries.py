@@ -252,7 +252,7 @@ def assignment_defects(spark, sf_dir):
 VERSIONS_SQL = """cur AS (
   SELECT o_orderkey, 'ord_' || o_orderkey AS episode_id, epoch_us(o_orderdate) // 1000 AS s,
     CASE o_orderstatus WHEN 'O' THEN 'provisional' WHEN 'F' THEN 'review_required' ELSE 'monitoring' END AS state,
-    CASE WHEN o_orderstatus <> 'O' THEN epoch_us(o_orderdate) // 1000 + 60 * 86400000 END AS e,
+    CASE WHEN o_orderstatus <> 'O' THEN epoch_us(o_orderdate) // 1000 + 60::BIGINT * 86400000 END AS e,
     CASE WHEN o_orderstatus = 'F' THEN 3 WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS version
   FROM orders
 ), reports AS (
@@ -381,12 +381,12 @@ def late_data_verdicts(spark, sf_dir):
         'late_data_' || verdict AS cause, s AS start_ms,
         CASE verdict WHEN 'closed' THEN af_first WHEN 'split' THEN in_first ELSE e END AS end_ms,
         CASE WHEN verdict = 'closed' AND v.state = 'provisional' THEN 'illegal'
-          WHEN s + 30 * {DAY} <= {NOW_MS} AND o_totalprice > 300000 THEN 'approval_required' ELSE 'applied' END AS status
+          WHEN s + 30::BIGINT * {DAY} <= {NOW_MS} AND o_totalprice > 300000 THEN 'approval_required' ELSE 'applied' END AS status
       FROM verdicts v JOIN orders ON v.episode_id = 'ord_' || o_orderkey WHERE verdict IN ('closed', 'retracted', 'split')
       UNION ALL
       SELECT v.episode_id || h.suffix, 1, v.state, 'late_data_split', CASE h.suffix WHEN '-a' THEN s ELSE in_last END,
         CASE h.suffix WHEN '-a' THEN in_first ELSE e END,
-        CASE WHEN s + 30 * {DAY} <= {NOW_MS} AND o_totalprice > 300000 THEN 'approval_required' ELSE 'applied' END
+        CASE WHEN s + 30::BIGINT * {DAY} <= {NOW_MS} AND o_totalprice > 300000 THEN 'approval_required' ELSE 'applied' END
       FROM verdicts v JOIN orders ON v.episode_id = 'ord_' || o_orderkey, (VALUES ('-a'), ('-b')) h(suffix) WHERE verdict = 'split')""",
     VERDICT_SQL,
 )
@@ -493,7 +493,7 @@ def proposal_outcomes(spark, sf_dir):
     "decision_transitions",
     f"""SELECT to_state AS state, status, count(*) AS episodes FROM (SELECT to_state, CASE
         WHEN (state = 'provisional' AND to_state <> 'retracted') OR to_state = 'action_open' THEN 'illegal'
-        WHEN epoch_us(o_orderdate) // 1000 + 30 * {DAY} <= {NOW_MS} AND o_totalprice > 300000 AND NOT high THEN 'approval_required'
+        WHEN epoch_us(o_orderdate) // 1000 + 30::BIGINT * {DAY} <= {NOW_MS} AND o_totalprice > 300000 AND NOT high THEN 'approval_required'
         ELSE 'applied' END AS status
       FROM (SELECT *, ['classified', 'classified', 'retracted', 'action_open', 'action_open'][CAST(o_orderkey % 5 + 1 AS INT)] AS to_state,
         o_orderkey % 5 IN (1, 3, 4) AS high FROM orders JOIN cur USING (o_orderkey))

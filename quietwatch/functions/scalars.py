@@ -114,3 +114,14 @@ def any_of(flags: Iterable[Column]) -> Column:
 def utc_iso(column: Column) -> Column:
     """ISO-8601 text with milliseconds."""
     return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def evaluate_once(df, columns: list[str] | None = None):
+    """The same rows, with every column computed here and nowhere else.
+
+    The optimizer copies the expression behind a column into each later filter on it, and an
+    expression used by another is copied in turn; for parsed documents that multiplies the parsing.
+    Passing a row through a one-element generator stops the copying without moving any data.
+    """
+    names = columns or df.columns
+    return df.select(F.inline(F.array(F.struct(*names))))

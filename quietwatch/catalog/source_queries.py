@@ -122,7 +122,8 @@ RUN = ingest.ImportRun(TENANT, "fleet", datetime(2026, 8, 5, tzinfo=timezone.utc
 
 def event_lines(spark, sf_dir):
     """NDJSON lines made of the telemetry view; some are broken, foreign, untyped or resent."""
-    e = telemetry(spark, sf_dir)
+    # The supplied file is one small split; real batches arrive as many.
+    e = telemetry(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     n = F.col("arrival")
     good = F.to_json(
         F.struct(

@@ -458,10 +458,10 @@ def payload_sample(spark, sf_dir):
 @query(
     "segment_keys",
     """SELECT s_suppkey, 'seg_' || substr(sha256(printf('%.6f,%.6f', lon, lat) || ';' || printf('%.6f,%.6f', lon + 0.25::DOUBLE, lat + 0.5::DOUBLE)), 1, 24)
-      AS segment_key FROM (SELECT s_suppkey, s_acctbal / 64.0::DOUBLE AS lon, s_nationkey / 8.0::DOUBLE AS lat FROM supplier)""",
+      AS segment_key FROM (SELECT s_suppkey, s_acctbal / 50.0::DOUBLE AS lon, s_nationkey / 8.0::DOUBLE AS lat FROM supplier)""",
 )
 def segment_keys(spark, sf_dir):
-    lon, lat = F.col("s_acctbal") / F.lit(64.0), F.col("s_nationkey") / F.lit(8.0)
+    lon, lat = F.col("s_acctbal") / F.lit(50.0), F.col("s_nationkey") / F.lit(8.0)
     points = F.array(
         F.struct(lon.alias("lon"), lat.alias("lat")),
         F.struct((lon + 0.25).alias("lon"), (lat + 0.5).alias("lat")),

@@ -40,6 +40,13 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _SHARED[key]
 
 
+def forget() -> None:
+    """Drop the shared frames, so that the next query computes its own."""
+    for frame in _SHARED.values():
+        frame.unpersist()
+    _SHARED.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

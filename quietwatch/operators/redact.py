@@ -154,19 +154,14 @@ def _value_checks(
             (code, at)
             for code, at, _ in _value_checks(F.lit(None).cast(element), element, f"{path}/*", None)
         ]
-        for i, (code, at) in enumerate(inner):
-            checks.append(
-                (
-                    code,
-                    at,
-                    F.exists(
-                        value,
-                        lambda x, i=i: F.coalesce(
-                            _value_checks(x, element, f"{path}/*", None)[i][2], F.lit(False)
-                        ),
-                    ),
-                )
+
+        def element_check(position: int):
+            return lambda x: F.coalesce(
+                _value_checks(x, element, f"{path}/*", None)[position][2], F.lit(False)
             )
+
+        for i, (code, at) in enumerate(inner):
+            checks.append((code, at, F.exists(value, element_check(i))))
     elif isinstance(kind, T.MapType):
         checks.append(
             ("COORDINATE_PRESENT", f"{path}/*", F.exists(F.map_keys(value), lambda k: k.rlike(COORDINATE_VALUE)))
@@ -185,10 +180,11 @@ def _value_checks(
             strange = F.array_except(F.map_keys(value), F.array(*map(F.lit, ALLOWED_FIELDS)))
             checks.append(("FIELD_NOT_ALLOWLISTED", f"{path}/*", F.size(strange) > 0))
         if isinstance(kind.valueType, T.StringType):
-            for code, pattern in (("COORDINATE_PRESENT", COORDINATE_VALUE), ("IDENTIFIER_PRESENT", LONG_DIGITS)):
-                checks.append(
-                    (code, f"{path}/*", F.exists(F.map_values(value), lambda v, p=pattern: F.coalesce(v.rlike(p), F.lit(False))))
-                )
+            values = F.map_values(value)
+            looks_placed = F.exists(values, lambda v: F.coalesce(v.rlike(COORDINATE_VALUE), F.lit(False)))
+            looks_named = F.exists(values, lambda v: F.coalesce(v.rlike(LONG_DIGITS), F.lit(False)))
+            checks.append(("COORDINATE_PRESENT", f"{path}/*", looks_placed))
+            checks.append(("IDENTIFIER_PRESENT", f"{path}/*", looks_named))
     elif isinstance(kind, (T.DoubleType, T.FloatType)) and name is None:
         # An unlabelled number in the range and precision of a coordinate.
         text = F.abs(value).cast("decimal(38,18)").cast("string")

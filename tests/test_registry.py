@@ -21,4 +21,4 @@ def test_percentiles_are_nearest_rank(spark):
         row = nearest_rank_struct(spark.range(1, n + 1), F.col("id"), bucket_width=3.0).first().percentiles
         assert (row.p50, row.p95, row.p99) == (-(-n // 2), -(-95 * n // 100), -(-99 * n // 100))
     empty = nearest_rank_struct(spark.range(0), F.col("id")).first().percentiles
-    assert (empty.count, empty.p50) == (0, None)
+    assert (empty["count"], empty.p50) == (0, None)

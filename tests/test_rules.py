@@ -9,7 +9,9 @@ from quietwatch.functions.scalars import any_of
 from quietwatch.operators import classify, facts, rules
 from quietwatch.operators.rules import FACT_TYPES, RULES, fact_field
 
-AT = F.lit("2026-09-01 00:00:00").cast("timestamp")
+
+def now():
+    return F.lit("2026-09-01 00:00:00").cast("timestamp")
 
 
 def facts_frame(spark, cases):
@@ -56,7 +58,7 @@ CASES = [
 
 def test_each_rule_on_its_cases(spark):
     frame = facts_frame(spark, [c for _, c, _ in CASES])
-    found = {(r.episode_id, r.rule_id): r.kind for r in classify.rule_outcomes(frame, AT).collect()}
+    found = {(r.episode_id, r.rule_id): r.kind for r in classify.rule_outcomes(frame, now()).collect()}
     assert [found[(i, rule)] for i, (rule, _, _) in enumerate(CASES)] == [kind for _, _, kind in CASES]
 
 
@@ -68,7 +70,7 @@ def test_rules_are_not_in_force_before_their_date(spark):
 def test_two_effective_versions_fail(spark):
     twin = dataclasses.replace(RULES[0], version="1.2.0")
     with pytest.raises(Exception, match="effective at once"):
-        classify.classify(facts_frame(spark, [PARKED]), AT, [*RULES, twin]).collect()
+        classify.classify(facts_frame(spark, [PARKED]), now(), [*RULES, twin]).collect()
 
 
 def test_a_readable_false_beats_an_unreadable_branch(spark):
@@ -83,7 +85,7 @@ def test_a_readable_false_beats_an_unreadable_branch(spark):
 def test_direct_evidence_is_never_suppressed_and_weak_is(spark):
     weak = dataclasses.replace(RULES[8], rule_id="rule.weak", strength="corroborated")
     case = {"source.independent_devices": 5, "source.health_incident_active": True, "tamper.alert_present": True}
-    row = classify.classify(facts_frame(spark, [case]), AT, [*RULES, weak]).first()
+    row = classify.classify(facts_frame(spark, [case]), now(), [*RULES, weak]).first()
     by_rule = {h.rule_id: h for h in row.hypotheses}
     direct = by_rule["rule.h-tamper.direct-signal"]
     assert (direct.band, direct.suppressed_by) == ("direct", None)
@@ -97,7 +99,7 @@ def test_an_unreadable_exception_withholds_suppression(spark):
     weak = dataclasses.replace(RULES[8], rule_id="rule.weak", strength="weak")
     clash = rules.Contradiction("H-VENDOR", "H-TAMPER", "why", (("corridor.recurrence_qualified", "eq", True),))
     case = {"source.independent_devices": 5, "tamper.alert_present": True}
-    row = classify.classify(facts_frame(spark, [case]), AT, [RULES[3], weak], [clash]).first()
+    row = classify.classify(facts_frame(spark, [case]), now(), [RULES[3], weak], [clash]).first()
     entry = [h for h in row.hypotheses if h.rule_id == "rule.weak"][0]
     assert entry.suppressed_by is None
     assert "withheld" in entry.counterevidence[-1]
@@ -105,12 +107,12 @@ def test_an_unreadable_exception_withholds_suppression(spark):
 
 def test_benign_explanations_never_add_up_to_urgency(spark):
     case = {**PARKED, "source.independent_devices": 5, "source.health_incident_active": True}
-    row = classify.classify(facts_frame(spark, [case]), AT).first()
+    row = classify.classify(facts_frame(spark, [case]), now()).first()
     assert len(row.hypotheses) == 2 and not row.urgent_eligible
 
 
 def test_unknown_lists_what_was_missing(spark):
-    row = classify.classify(facts_frame(spark, [{}]), AT).first()
+    row = classify.classify(facts_frame(spark, [{}]), now()).first()
     assert row.unknown.code == "H-UNKNOWN"
     assert "gnss.jamming_alert" in row.unknown.missing_expected
 

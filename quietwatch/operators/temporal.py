@@ -22,10 +22,12 @@ from quietwatch.functions.scalars import ms
 # Open end as milliseconds, beyond any timestamp Spark can hold in milliseconds.
 OPEN_END_MS = 2**62
 
-# Histories up to this many rows are broadcast as one array per key; larger ones are merged by time.
-MAX_BROADCAST_RECORDS = 100_000
+# Histories up to this many rows (some 50 MB) are broadcast as one array per key; larger ones are
+# merged by time.
+MAX_BROADCAST_RECORDS = 500_000
 
 DAY_MS = 86_400_000
+MONTH_MS = 30 * DAY_MS
 
 
 def _bounds(from_col: str, to_col: str) -> tuple[Column, Column]:
@@ -139,16 +141,16 @@ def _resolve_by_merge(
 
 
 def _resolve_contested(contested: DataFrame, sound: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Day-bucketed join for instants that only an earlier, longer record covers."""
+    """Month-bucketed join for instants that only an earlier, longer record covers."""
     instants = contested.select(*keys, "_t").distinct()
     horizon = instants.agg(F.max("_t").alias("_horizon"))
     last = F.greatest(F.col("_start"), F.least(F.col("_end") - 1, F.col("_horizon")))
     pieces = sound.join(F.broadcast(horizon)).withColumn(
-        "_day", F.explode(F.sequence(F.floor(F.col("_start") / DAY_MS), F.floor(last / DAY_MS)))
+        "_month", F.explode(F.sequence(F.floor(F.col("_start") / MONTH_MS), F.floor(last / MONTH_MS)))
     )
     found = (
-        instants.withColumn("_day", F.floor(F.col("_t") / DAY_MS))
-        .join(pieces, [*keys, "_day"])
+        instants.withColumn("_month", F.floor(F.col("_t") / MONTH_MS))
+        .join(pieces, [*keys, "_month"])
         .filter((F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_end")))
         .groupBy(*keys, "_t")
         .agg(F.max_by("_value", F.struct("_start", "_id")).alias("resolved"))
@@ -195,7 +197,7 @@ def resolve_asset(
     asset_device: DataFrame,
     device_sim: DataFrame,
     at: str,
-    bucket_ms: int = 30 * DAY_MS,
+    bucket_ms: int = MONTH_MS,
     max_broadcast: int = MAX_BROADCAST_RECORDS,
 ) -> DataFrame:
     """Every device on an asset at an instant, with its own resolution; primary sorts first.
@@ -243,7 +245,7 @@ def overlapping_pairs(
     record_id: str,
     from_col: str = "valid_from",
     to_col: str = "valid_to",
-    bucket_ms: int = 30 * DAY_MS,
+    bucket_ms: int = MONTH_MS,
 ) -> DataFrame:
     """Pairs of sound records of one key that overlap, earlier start first.
 

@@ -21,7 +21,6 @@ QUERIES = (
     "episode_summary",
     "peer_clusters",
     "classified_hypotheses",
-    "review_queue",
     "assignment_as_of",
     "interval_overlaps",
     "late_data_versions",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from quietwatch.catalog.views import POLICY, TELEMETRY_SQL, TENANT, epoch_ms, ta
 from quietwatch.functions.scalars import evaluate_once, great_circle_m, grid_cell, ms, utc_iso
 from quietwatch.operators import corridor, redact
 from quietwatch.plans.audit import audit_sections
+from quietwatch.session import scratch_path
 from quietwatch.sources import ingest, readers, vendor, versions
 from quietwatch.streaming import deadline
 from quietwatch.streaming import ingest as stream_ingest
@@ -670,8 +670,8 @@ def _event_stream(spark, sf_dir):
 
 
 def _run_to_table(stream, out: str, mode: str = "append"):
-    """Run a stream over what is there and return the table it wrote."""
-    checkpoint = tempfile.mkdtemp(prefix="quietwatch-stream-")
+    """Run a stream over what is there into a table."""
+    checkpoint = scratch_path(stream.sparkSession, "stream-checkpoint")
     (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -698,7 +698,7 @@ def stream_deduplicated(spark, sf_dir):
             F.concat_ws("-", F.col("user_id").cast("string"), F.floor(epoch_ms("ts") / 7_200_000).cast("string")),
         ).alias("idempotency_key"),
     )
-    out = tempfile.mkdtemp(prefix="quietwatch-out-")
+    out = scratch_path(spark, "stream-out")
     _run_to_table(stream_ingest.deduplicated(events, "60 days").select("source"), out)
     return spark.read.schema("source string").parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("observations"))
 
@@ -721,7 +721,7 @@ def stream_deadlines(spark, sf_dir):
         )
         .withWatermark("at", "0 seconds")
     )
-    out = tempfile.mkdtemp(prefix="quietwatch-out-")
+    out = scratch_path(spark, "stream-out")
     _run_to_table(deadline.monitor_deadlines(reports), out)
     schema = T.StructType.fromDDL(deadline.OUTPUT_SCHEMA)
     return spark.read.schema(schema).parquet(out).groupBy("action").agg(

@@ -129,3 +129,20 @@ def test_bounding_fixes_look_both_ways(spark):
     found = episodes.with_episode_id(episodes.sample_episodes(frame, POLICY)).filter("type = 'total_silence'")
     row = episodes.last_and_next_fix(found, frame).first()
     assert (row.last_fix.lat, row.next_fix.lat) == (1.0, 4.0)
+
+
+def test_many_windows_take_the_bucketed_join(spark, monkeypatch):
+    from quietwatch.operators import policy
+
+    rows = spark.range(50).select("id", from_ms((F.col("id") * 7_000_000).cast("bigint")).alias("at"))
+    windows = spark.range(6).select(
+        F.col("id").cast("int").alias("ord"),
+        F.concat(F.lit("w"), F.col("id").cast("string")).alias("reason"),
+        from_ms((F.col("id") * 40_000_000).cast("bigint")).alias("from_at"),
+        from_ms((F.col("id") * 40_000_000 + 60_000_000).cast("bigint")).alias("to_at"),
+        F.lit("x").alias("approved_by"),
+    )
+    small = sorted(policy.suppressed_by(rows, "at", windows, "why").collect())
+    monkeypatch.setattr(policy, "MAX_BROADCAST_WINDOWS", 0)
+    assert sorted(policy.suppressed_by(rows, "at", windows, "why").collect()) == small
+    assert {r.why for r in small} >= {"w0", "w1", None}

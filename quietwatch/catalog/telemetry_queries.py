@@ -260,7 +260,7 @@ def report_pairs(spark, sf_dir):
 def stale_runs(spark, sf_dir):
     judged = episodes.judge_pairs(episodes.pair_reports(telemetry(spark, sf_dir), POLICY))
     return episodes.stale_pairs(judged).select(
-        "device_ref", F.col("_before").alias("start_ms"), F.col("_at").alias("end_ms")
+        "device_ref", ms("start_at").alias("start_ms"), ms("end_at").alias("end_ms")
     )
 
 

@@ -153,72 +153,69 @@ def _entry_states(sliced: Sliced, limit: int) -> DataFrame:
     )
 
 
-def stale_pairs(sliced: Sliced, limit: int = STALE_AFTER_REPORTS) -> DataFrame:
-    """Pairs at which an unchanged, valid, on-time position run reaches ``limit`` and restarts.
+def _sample(kind: Column, missed: Column) -> list[Column]:
+    return [
+        F.col("device_ref"),
+        kind.alias("type"),
+        from_ms("_before").alias("start_at"),
+        from_ms("_at").alias("end_at"),
+        ((F.col("_at") - F.col("_before")) / F.lit(1000.0)).alias("duration_s"),
+        F.when(F.col("_device_clock"), F.lit("device_time"))
+        .otherwise(F.lit("received_at"))
+        .alias("clock_basis"),
+        F.col("_interval").alias("expected_interval_s"),
+        missed.cast("bigint").alias("missed_reports"),
+        F.col("_policy_version").alias("policy_version"),
+        F.col("_weak").alias("weak_basis"),
+        F.col("_gap_state").alias("state_at_gap"),
+    ]
+
+
+def _with_stale_hits(sliced: Sliced, limit: int, gap: Column | None = None) -> DataFrame:
+    """Islands of unchanged position with ``_hits``, the stale samples they emit, and ``_gaps``.
 
     Runs are islands between position changes; each island folds on its own, and only an island
     that continues over a slice border of a hot device needs the state carried into the slice.
+    ``gap`` is a sample struct (NULL where a pair is no gap) gathered in the same pass, so that the
+    events are shuffled and sorted once.
     """
     moved = F.col("_symbol") == _MOVED
     rows = sliced.rows.withColumn(
         "_island", F.sum(F.when(moved, 1).otherwise(0)).over(sliced.window)
-    ).filter(~moved)
-    item = F.struct(
-        "_received_ms",
-        "_arrival",
-        "_symbol",
-        "_before",
-        "_at",
-        "_interval",
-        "_policy_version",
-        "_weak",
-        "_gap_state",
-        "_device_clock",
     )
+    stale = F.struct(*_sample(F.lit("stale_position"), F.lit(0)))
+    item = F.struct("_received_ms", "_arrival", "_symbol", stale.alias("sample"))
+    gap = F.lit(None).cast("string") if gap is None else gap
     islands = (
         rows.groupBy(*sliced.keys, SLICE, "_island")
-        .agg(F.array_sort(F.collect_list(item)).alias("_run"))
+        .agg(
+            F.array_sort(F.collect_list(F.when(~moved, item))).alias("_run"),
+            F.collect_list(gap).alias("_gaps"),
+        )
         .withColumn("_entry", F.lit(0))
     )
     if sliced.has_hot:
+        entries = _entry_states(sliced, limit).withColumn("_island", F.lit(0).cast("bigint"))
         islands = (
             islands.drop("_entry")
-            .join(
-                F.broadcast(_entry_states(sliced, limit).withColumn("_island", F.lit(0).cast("bigint"))),
-                [*sliced.keys, SLICE, "_island"],
-                "left",
-            )
+            .join(F.broadcast(entries), [*sliced.keys, SLICE, "_island"], "left")
             .withColumn("_entry", F.coalesce("_entry", F.lit(0)))
         )
-    # A run too short to reach the limit emits nothing, whatever its symbols are.
-    islands = islands.filter(F.size("_run") + F.col("_entry") >= limit)
     symbols = F.transform("_run", lambda r: r["_symbol"])
     before = prefix_states(symbols, F.col("_entry"), lambda s, c: _step(s, c, limit))
     marked = F.zip_with("_run", before, lambda r, s: F.struct(r.alias("r"), s.alias("s")))
-    hits = F.filter(
-        marked, lambda m: (m["r"]["_symbol"] == _SAME_READY) & (m["s"] + 1 >= limit)
-    )
-    return islands.select(*sliced.keys, F.explode(F.transform(hits, lambda m: m["r"])).alias("r")).select(
-        *sliced.keys, "r.*"
+    hits = F.transform(
+        F.filter(marked, lambda m: (m["r"]["_symbol"] == _SAME_READY) & (m["s"] + 1 >= limit)),
+        lambda m: m["r"]["sample"],
     )
+    # A run too short to reach the limit emits nothing, whatever its symbols are.
+    long_enough = F.size("_run") + F.col("_entry") >= limit
+    return islands.withColumn("_hits", F.when(long_enough, hits))
 
 
-def _sample(kind: Column, missed: Column) -> list[Column]:
-    return [
-        F.col("device_ref"),
-        kind.alias("type"),
-        from_ms("_before").alias("start_at"),
-        from_ms("_at").alias("end_at"),
-        ((F.col("_at") - F.col("_before")) / F.lit(1000.0)).alias("duration_s"),
-        F.when(F.col("_device_clock"), F.lit("device_time"))
-        .otherwise(F.lit("received_at"))
-        .alias("clock_basis"),
-        F.col("_interval").alias("expected_interval_s"),
-        missed.cast("bigint").alias("missed_reports"),
-        F.col("_policy_version").alias("policy_version"),
-        F.col("_weak").alias("weak_basis"),
-        F.col("_gap_state").alias("state_at_gap"),
-    ]
+def stale_pairs(sliced: Sliced, limit: int = STALE_AFTER_REPORTS) -> DataFrame:
+    """Samples at which an unchanged, valid, on-time position run reaches ``limit`` and restarts."""
+    return _with_stale_hits(sliced, limit).select(F.inline("_hits"))
 
 
 def judge_pairs(
@@ -270,26 +267,30 @@ def sample_episodes(
     judged = judge_pairs(
         pair_reports(events, policy, hot_rows), lag_p95_s, backfill_threshold_s
     )
-    pairs = judged.rows.filter(F.col("_prev").isNotNull())
-
     gap_s = (F.col("_at") - F.col("_before")) / F.lit(1000.0)
     missed = F.greatest(F.lit(1), F.floor(gap_s / F.col("_interval")) - 1)
     lost_fix = F.col("_has_position") & (F.col("_valid") == F.lit(False))
     kind = (
-        F.when(F.col("_late") & F.col("_held"), F.lit("vendor_ingestion_delay"))
+        F.when(F.col("_prev").isNull(), F.lit(None))
+        .when(F.col("_late") & F.col("_held"), F.lit("vendor_ingestion_delay"))
         .when(F.col("_late"), F.lit("total_silence"))
         .when(lost_fix, F.lit("gnss_only_loss"))
     )
-    gaps = pairs.withColumn("_kind", kind).filter(F.col("_kind").isNotNull()).select(
-        *_sample(F.col("_kind"), F.when(F.col("_late"), missed).otherwise(F.lit(0)))
+    gap = F.when(
+        kind.isNotNull(),
+        F.struct(*_sample(kind, F.when(F.col("_late"), missed).otherwise(F.lit(0)))),
     )
-    stale = stale_pairs(judged, stale_after).select(*_sample(F.lit("stale_position"), F.lit(0)))
-    none = F.lit(None).cast("string")
+    islands = _with_stale_hits(judged, stale_after, gap)
+    none_stale = F.expr("slice(_gaps, 1, 0)")
+    episodes = islands.select(F.inline(F.concat("_gaps", F.coalesce("_hits", none_stale))))
     if windows is None:
-        return gaps.unionByName(stale).withColumn("suppressed_by", none)
+        return episodes.withColumn("suppressed_by", F.lit(None).cast("string"))
     real = F.col("type").isin("total_silence", "vendor_ingestion_delay")
-    episodes = suppressed_by(gaps.unionByName(stale), "start_at", windows, "_reason")
-    return episodes.withColumn("suppressed_by", F.when(real, F.col("_reason"))).drop("_reason")
+    return (
+        suppressed_by(episodes, "start_at", windows, "_reason")
+        .withColumn("suppressed_by", F.when(real, F.col("_reason")))
+        .drop("_reason")
+    )
 
 
 def summarise_episodes(episodes: DataFrame, events: DataFrame) -> DataFrame:

@@ -232,13 +232,22 @@ def check_redaction(sections: Mapping[str, DataFrame]) -> list[Violation]:
 def section_hash(rows: DataFrame) -> DataFrame:
     """Order-free sha256 of a published section.
 
-    Row hashes are sorted and hashed again; only aggregates that may leave the house come here, and
-    their size is bounded by cohorts, not by events.
+    Row hashes are sorted and hashed inside 4,096 buckets by their own prefix, then the bucket
+    hashes are hashed in order; no task gathers a whole section.
     """
     each = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
-    return rows.select(each.alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("sha256"),
+    buckets = (
+        rows.select(each.alias("h"))
+        .groupBy(F.substring("h", 1, 3).alias("bucket"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("b"),
+        )
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "b"))), lambda x: x["b"])
+    return buckets.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.sha2(F.array_join(ordered, ""), 256).alias("sha256"),
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,16 +23,33 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_quietwatch_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # else it was itself imported from an archive
+        folder = tempfile.mkdtemp(prefix="quietwatch-package-")
+        archive = shutil.make_archive(os.path.join(folder, package.name), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+    context._quietwatch_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's own, or a temporary one when unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured is None:
-        existing = context.getCheckpointDir()
-        configured = existing or tempfile.mkdtemp(prefix="quietwatch-checkpoint-")
+        configured = context.getCheckpointDir()
+    if configured is None:
+        if not (context.master or "").startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="quietwatch-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwatch.llm import byte_bpe, chat, exact_topk, multiprobe, packing, quality, secrets, substrings, toxicity, vectors
+from quietwatch.llm import byte_bpe, chat, exact_topk, jaccard, multiprobe, packing, quality, secrets, substrings, toxicity, vectors
 from quietwatch.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "n_links"
+    )
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int) -> DataFrame:
     marks = labels.select("doc_id", F.col(label).alias("label"))
     kept = toxicity.remainder("doc_id", divisor) != left_out
@@ -103,6 +109,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,

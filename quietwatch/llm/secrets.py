@@ -6,6 +6,13 @@ from collections import defaultdict
 from dataclasses import dataclass
 from operator import length_hint
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from quietwatch.llm.common import map_batches
+
 # The rules, and the characters that a match needs at least.  The first three are the base.  A pattern
 # must end in a repeated class or in a fixed text, so that nothing of a match lives on after its end.
 BASE_RULES = (
@@ -375,16 +382,12 @@ def scanner() -> Scanner:
     return _SCANNER
 
 
-def find_secrets(docs, id_col: str = "doc_id", text_col: str = "text"):
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id and ``spans``, an array of (kind, start, end) over its whole text.
 
     Offsets are code points, the end is exclusive; matches of one rule never overlap, those of different rules may.
     A null or empty text has no spans; repeated rows are scanned like any other.
     """
-    from pyspark.sql import functions as F
-
-    from quietwatch.llm.common import map_batches
-
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -406,3 +409,13 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join(out) + text[at:] if out else text
+
+
+def redacted(text_col: str) -> Column:
+    """``redact`` over a column."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(redact)
+
+    return run(text_col)

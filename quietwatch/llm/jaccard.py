@@ -10,7 +10,8 @@ at distance 1 from any of them.  So regions come in two levels, and both bounds
 * Inside a region the smallest class is the pivot document, with exact distances to it.  Members within the
   threshold are linked to it, hence to each other's component.  By the triangle inequality a linked member x can only
   have an unseen link to a member y that is not linked to the pivot, with d(y, pivot) <= d(x, pivot) + 0.2.  Members
-  without such a y are done.  The rest form the region anew, with the next pivots, until no region has two members.
+  without such a y are done; the rest form the region anew with the next pivot.  What is left after a few pivots,
+  documents that share little more than their seed, splits into annuli of set sizes and blocks of bounded size.
 
 Before sets are compared, counts of their shingles by 64 hash classes bound the distance from below (each class is a
 pivot set; the differences add up to a lower bound of the symmetric difference).
@@ -21,6 +22,7 @@ Documents with equal sets are one class throughout.  Links end in ``components.c
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -43,9 +45,8 @@ class JaccardOptions:
     words: int = 5
     busy: int = 64
     busy_seeds: int = 1_000_000
-    small_region: int = 64
-    pivots: int = 16
-    pivots_of_large: int = 4
+    pivot_turns: int = 2
+    block: int = 2_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -190,7 +191,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
         }
 
     # one shuffle serves the counts and the join
-    copies = map_batches(full.select("row", "n", "first"), place, "seed long, row long").repartition("seed")
+    copies = map_batches(full.select("row", "n", "first"), place, "seed long, row long")
+    copies = copies.filter("seed IS NOT NULL").repartition("seed")
     shared = copies.groupBy("seed").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
     of_row = full.select("row", "c1", "c2").join(classes.select("c1", "c2", "class", "n"), ["c1", "c2"])
     members = (
@@ -199,7 +201,9 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
         .select("seed", "class", "n")
         .distinct()
     )
-    links = _recursion(docs, sets, _crowded(members), id_col, text_col, options)
+    members = _crowded(members)
+    whole = _whole_sets(docs, sets, members.select(F.col("class").alias("row")).distinct(), id_col, text_col, options)
+    links = _recursion(sets, whole, members, options)
 
     roots = connected(links)
     named = classes.select("class", "c1", "c2", "least").join(
@@ -218,53 +222,144 @@ def _crowded(members: DataFrame) -> DataFrame:
     return checkpointed(members.join(sizes, "seed"))
 
 
-def _recursion(docs, sets, members, id_col, text_col, options) -> DataFrame:
+def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> DataFrame:
+    """``row, items, bins`` of the wanted classes.
+
+    Their texts are read again: to store every document's set would take twice the input.
+    """
+    key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("key")
+    names = checkpointed(sets.select("row", key("doc_id"), "print", "c1", "c2", "bins").join(wanted, "row"))
+    texts = docs.select(key(id_col), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    keyed = texts.join(names.select("key", "print").distinct(), ["key", "print"], "left_semi")
+
+    def build(batch):
+        made = [shingles(t, options.words) for t in batch["text"]]
+        name = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in made]
+        return {
+            "c1": [int(x[0]) for x in name],
+            "c2": [int(x[1]) for x in name],
+            "items": [s.tobytes() for s in made],
+        }
+
+    built = map_batches(keyed, build, "c1 long, c2 long, items binary").join(names.drop("key", "print"), ["c1", "c2"])
+    return written(built.select("row", "items", "bins").dropDuplicates(["row"]), "class-sets")
+
+
+def _recursion(sets, whole, members, options) -> DataFrame:
     """All links between classes that a component needs: ``a, b``, the smaller first."""
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     known = spark.createDataFrame([], "a long, b long, distance double, exact boolean")
-    turn = 0
-    while not members.isEmpty():
-        small = F.col("size") <= options.small_region
-        # the first turn takes one pivot: groups of near copies end there
-        most = F.lit(1) if turn == 0 else F.when(small, options.pivots).otherwise(options.pivots_of_large)
+    members = members.withColumn("joined", F.lit(None).cast("long"))
+    for _ in range(options.pivot_turns):
+        if members.isEmpty():
+            break
         order = Window.partitionBy("seed").orderBy("class")
         pivots = (
             members.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= options.pivots)
-            .filter(F.col("rank") <= most)
+            .filter(F.col("rank") == 1)
             .select("seed", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"))
         )
-        pairs = members.join(pivots, "seed").filter("pivot < class")
-        asked = pairs.select(F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb"))
-        fresh = asked.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = checkpointed(_distances(docs, sets, fresh, id_col, text_col, options))
-        links = links.unionByName(found.filter("exact AND distance <= 0.2").select("a", "b"))
+        pairs = members.join(pivots, "seed").filter("pivot < class").select(
+            "seed", F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
+        )
+        found = _distances(whole, _new(pairs, known))
         known = checkpointed(known.unionByName(found))
-        measured = pairs.select("seed", F.col("pivot").alias("a"), F.col("class").alias("b")).join(known, ["a", "b"])
+        measured = pairs.select("seed", "a", "b").join(known, ["a", "b"])
         linked = F.col("exact") & (F.col("distance") <= 0.2)
         # the nearest member that is not linked to the pivot, or a lower bound of its distance
-        outer = measured.filter(~linked).groupBy("seed", "a").agg(F.min("distance").alias("outer"))
-        done = (
-            measured.filter(linked)
-            .join(outer, ["seed", "a"], "left")
-            .filter(F.col("outer").isNull() | (F.col("distance") + 0.2 < F.col("outer") - 1e-9))
-            .select("seed", F.col("b").alias("class"))
+        outer = measured.filter(~linked).groupBy("seed").agg(F.min("distance").alias("outer"))
+        near = measured.filter(linked).join(outer, "seed", "left").select(
+            "seed",
+            F.col("b").alias("class"),
+            F.col("a").alias("to"),
+            (F.col("outer").isNull() | (F.col("distance") + 0.2 < F.col("outer") - 1e-9)).alias("done"),
         )
-        gone = done.unionByName(pivots.select("seed", F.col("pivot").alias("class"))).distinct()
-        members = _crowded(members.drop("size").join(gone, ["seed", "class"], "left_anti"))
-        turn += 1
-    return checkpointed(links.distinct())
+        rest = members.join(pivots.select("seed", F.col("pivot").alias("class")), ["seed", "class"], "left_anti")
+        rest = rest.drop("size").join(near, ["seed", "class"], "left").filter(~F.coalesce("done", F.lit(False)))
+        members = _crowded(rest.withColumn("joined", F.coalesce("joined", "to")).drop("done", "to"))
+    last = _new(_leaves(whole, members, options), known)
+    known = checkpointed(known.unionByName(_distances(whole, last)))
+    return checkpointed(known.filter("exact AND distance <= 0.2").select("a", "b").distinct())
+
+
+def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "na", "nb").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
+#: Sizes of linked sets differ by a factor of 1.25 at most, so they lie in the same annulus or in neighbouring ones.
+ANNULUS = 1.26
+
 
+def _leaves(whole: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
+    """``a, b, na, nb``: pairs in what is left of the regions that the lower bound cannot rule out.
 
-def _distances(docs, sets, pairs, id_col, text_col, options) -> DataFrame:
+    A region splits into annuli of sizes; each member is copied to the next annulus as a visitor.  An annulus of many
+    members splits into blocks, and each pair of blocks is a task of its own.  Members that are linked to the same
+    pivot, and so in one component, are not paired.
+    """
+    bins = whole.select(F.col("row").alias("class"), "bins")
+    ring = F.floor(F.log("n") / F.log(F.lit(ANNULUS))).cast("int")
+    placed = members.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", F.col("ring") == ring)
+    parts = placed.groupBy("seed", "ring").agg(F.count("*").alias("held"), F.max("home").alias("lived_in"))
+    parts = parts.filter("lived_in AND held > 1").select(
+        "seed", "ring", F.ceil(F.col("held") / options.block).cast("int").alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    tasks = (
+        placed.join(parts, ["seed", "ring"])
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "seed", "ring", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+            "class", "n", "joined", "home",
+        )
+        .join(bins, "class")
+    )
+    keys = ["seed", "ring", "i", "j"]
+    schema = "a long, b long, na int, nb int"
+    target = arrow_schema(whole.sparkSession, schema)
+
+    def pairs_of(group: list[dict]) -> dict[str, list]:
+        out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
+        wide = np.frombuffer(b"".join(r["bins"] for r in group), "<u2").reshape(-1, BINS).astype(np.int32)
+        ids, n, own = (np.array([r[c] for r in group]) for c in ("class", "n", "own"))
+        home = np.array([r["home"] for r in group])
+        tag = np.array([-1 if r["joined"] is None else r["joined"] for r in group])
+        crossing = group[0]["i"] != group[0]["j"]
+        for k in range(len(group) - 1):
+            rest = slice(k + 1, None)
+            good = (home[k] | home[rest]) & ((tag[k] < 0) | (tag[rest] != tag[k]))
+            if crossing:
+                good &= own[rest] != own[k]
+            at = np.flatnonzero(good & (np.minimum(n[k], n[rest]) * 5 >= np.maximum(n[k], n[rest]) * 4)) + k + 1
+            if not len(at):
+                continue
+            at = at[far_apart(wide[at], wide[k][None], n[at], n[k]) <= 0.2 + 1e-9]
+            swap = ids[at] < ids[k]
+            out["a"] += np.where(swap, ids[at], ids[k]).tolist()
+            out["b"] += np.where(swap, ids[k], ids[at]).tolist()
+            out["na"] += np.where(swap, n[at], n[k]).tolist()
+            out["nb"] += np.where(swap, n[k], n[at]).tolist()
+        return out
+
+    def run(batches):
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            found = pairs_of(list(group))
+            if found["a"]:
+                yield batch_of(found, target)
+
+    return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
+
+
+def _distances(whole, pairs) -> DataFrame:
     """``a, b, distance, exact`` of each pair: the distance, or a lower bound above 0.2 that spares the comparison.
 
     A link is 100 * intersection >= 80 * union, decided in whole numbers; its distance is then at most 0.2.
     """
-    bins = sets.select("row", "bins")
-    sized = pairs.join(bins.select(F.col("row").alias("a"), F.col("bins").alias("bins_a")), "a").join(
-        bins.select(F.col("row").alias("b"), F.col("bins").alias("bins_b")), "b"
+    sized = pairs.join(whole.select(F.col("row").alias("a"), F.col("bins").alias("bins_a")), "a").join(
+        whole.select(F.col("row").alias("b"), F.col("bins").alias("bins_b")), "b"
     )
 
     def bound(batch):
@@ -276,23 +371,6 @@ def _distances(docs, sets, pairs, id_col, text_col, options) -> DataFrame:
     far = F.col("distance") > 0.2 + 1e-9
     near = bounded.filter(~far).select("a", "b")
 
-    wanted = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
-    # the texts of the classes in question are read again; storing all sets would take twice the input
-    names = sets.select("row", F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "c1", "c2").join(wanted, "row")
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
-    keyed = texts.join(names.select("key").distinct(), "key", "left_semi")
-
-    def build(batch):
-        made = [shingles(t, options.words) for t in batch["text"]]
-        name = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in made]
-        return {
-            "c1": [int(x[0]) for x in name],
-            "c2": [int(x[1]) for x in name],
-            "items": [s.tobytes() for s in made],
-        }
-
-    built = map_batches(keyed, build, "c1 long, c2 long, items binary").join(names.select("row", "c1", "c2"), ["c1", "c2"])
-    whole = checkpointed(built.select("row", "items").dropDuplicates(["row"]))
     both = near.join(whole.select(F.col("row").alias("b"), F.col("items").alias("items_b")), "b").join(
         whole.select(F.col("row").alias("a"), F.col("items").alias("items_a")), "a"
     )

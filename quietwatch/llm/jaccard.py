@@ -6,14 +6,14 @@ at distance 1 from any of them.  So regions come in two levels, and both bounds
 * Region seeds are single shingles under one global order.  With t = 0.8 two linked sets share one of their first
   floor(n/5) + 1 shingles, so this window of a document's seeds is where it is copied to.  Shingles met in many
   windows ("busy") are skipped: the window of a document grows by one for each.  A document whose window would have
-  to grow by more than a quarter of its size keeps its busy seeds too and meets there the others like it.
+  to grow by more than a tenth of its size keeps its busy seeds too and meets there the others like it.
 * Inside a region the smallest class is the pivot document, with exact distances to it.  Members within the
   threshold are linked to it, hence to each other's component.  By the triangle inequality a linked member x can only
   have an unseen link to a member y that is not linked to the pivot, with d(y, pivot) <= d(x, pivot) + 0.2.  Members
   without such a y are done; the rest form the region anew with the next pivot.  What is left after a few pivots,
   documents that share little more than their seed, splits into annuli of set sizes and blocks of bounded size.
 
-Before sets are compared, counts of their shingles by 64 hash classes bound the distance from below (each class is a
+Before sets are compared, counts of their shingles by 128 hash classes bound the distance from below (each class is a
 pivot set; the differences add up to a lower bound of the symmetric difference).
 
 Documents with equal sets are one class throughout.  Links end in ``components.connected``.
@@ -35,17 +35,21 @@ from quietwatch.llm.common import (
 )
 from quietwatch.llm.components import connected
 
-BINS = 64
+BINS = 128
 
 
 @dataclass(frozen=True)
 class JaccardOptions:
-    """``busy``: a seed met in so many windows is skipped.  At most ``busy_seeds`` are skipped, the most frequent."""
+    """``busy``: a seed met in so many windows is skipped.  At most ``busy_seeds`` are skipped, the most frequent.
+
+    Up to ``broadcast_rows`` names of classes are broadcast to the texts; more are joined by a shuffle.
+    """
 
     words: int = 5
-    busy: int = 64
+    busy: int = 8
     busy_seeds: int = 1_000_000
     pivot_turns: int = 2
+    broadcast_rows: int = 1_000_000
     block: int = 2_000
 
 
@@ -66,22 +70,22 @@ def window_size(n: int) -> int:
 
 
 def stored_size(n: int) -> int:
-    return min(n, window_size(n) + n // 4 + 1)
+    return min(n, window_size(n) + n // 8 + 1)
 
 
 def seeds_of(first: np.ndarray, n: int, busy: np.ndarray) -> np.ndarray:
     """The seeds of one document from its first shingles.
 
-    A document that skips h busy ones, h at most n // 5, has a window h longer.  For two such sets with hx <= hy the
+    A document that skips h busy ones, h at most n // 10, has a window h longer.  For two such sets with hx <= hy the
     first window_size + hx shingles of both share at least 1 + hx, at most hx of them skipped by x; so one is a seed
-    of both.  A document that would skip more keeps all plain shingles it has stored, which reach n // 4 beyond its
+    of both.  A document that would skip more keeps all plain shingles it has stored, which reach n // 8 beyond its
     plain window: linked sizes differ by a quarter at most, so these cover the window of any document that skips.
     Two documents of the latter kind meet in their plain windows, busy shingles included.
     """
     size = window_size(n)
     is_busy = np.isin(first, busy, assume_unique=True)
     plain = first[~is_busy]
-    if size <= np.count_nonzero(~is_busy[: size + n // 5]):
+    if size <= np.count_nonzero(~is_busy[: size + n // 10]):
         return plain[:size]
     return np.concatenate([plain, first[:size][is_busy[:size]]])
 
@@ -202,8 +206,10 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
         .distinct()
     )
     members = _crowded(members)
-    whole = _whole_sets(docs, sets, members.select(F.col("class").alias("row")).distinct(), id_col, text_col, options)
-    links = _recursion(sets, whole, members, options)
+    wanted = members.select(F.col("class").alias("row")).distinct()
+    bins, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
+    links = _recursion(bins, items, members, options)
+    items.unpersist()
 
     roots = connected(links)
     named = classes.select("class", "c1", "c2", "least").join(
@@ -222,33 +228,30 @@ def _crowded(members: DataFrame) -> DataFrame:
     return checkpointed(members.join(sizes, "seed"))
 
 
-def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> DataFrame:
-    """``row, items, bins`` of the wanted classes.
+def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFrame, DataFrame]:
+    """``row, bins`` and ``row, items`` of the wanted classes; the latter lie partitioned by ``row``.
 
-    Their texts are read again: to store every document's set would take twice the input.
+    Their texts are read again: to store every document's set would take twice the input.  Rows equal in id and text
+    make equal rows here.
     """
     key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("key")
-    names = checkpointed(sets.select("row", key("doc_id"), "print", "c1", "c2", "bins").join(wanted, "row"))
+    names = checkpointed(sets.select("row", key("doc_id"), "print", "bins").join(wanted, "row"))
     texts = docs.select(key(id_col), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    keyed = texts.join(names.select("key", "print").distinct(), ["key", "print"], "left_semi")
+    small = names.select("key", "print", "row")
+    if names.count() <= options.broadcast_rows:
+        small = F.broadcast(small)
 
     def build(batch):
-        made = [shingles(t, options.words) for t in batch["text"]]
-        name = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in made]
-        return {
-            "c1": [int(x[0]) for x in name],
-            "c2": [int(x[1]) for x in name],
-            "items": [s.tobytes() for s in made],
-        }
+        return {"row": batch["row"], "items": [shingles(t, options.words).tobytes() for t in batch["text"]]}
 
-    built = map_batches(keyed, build, "c1 long, c2 long, items binary").join(names.drop("key", "print"), ["c1", "c2"])
-    return written(built.select("row", "items", "bins").dropDuplicates(["row"]), "class-sets")
+    built = map_batches(texts.join(small, ["key", "print"]).select("row", "text"), build, "row long, items binary")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.select("row", "bins"), built.repartition(partitions, "row").persist()
 
 
-def _recursion(sets, whole, members, options) -> DataFrame:
+def _recursion(bins, items, members, options) -> DataFrame:
     """All links between classes that a component needs: ``a, b``, the smaller first."""
-    spark = sets.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    spark = bins.sparkSession
     known = spark.createDataFrame([], "a long, b long, distance double, exact boolean")
     members = members.withColumn("joined", F.lit(None).cast("long"))
     for _ in range(options.pivot_turns):
@@ -263,7 +266,7 @@ def _recursion(sets, whole, members, options) -> DataFrame:
         pairs = members.join(pivots, "seed").filter("pivot < class").select(
             "seed", F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
         )
-        found = _distances(whole, _new(pairs, known))
+        found = _distances(bins, items, _new(pairs, known))
         known = checkpointed(known.unionByName(found))
         measured = pairs.select("seed", "a", "b").join(known, ["a", "b"])
         linked = F.col("exact") & (F.col("distance") <= 0.2)
@@ -278,8 +281,8 @@ def _recursion(sets, whole, members, options) -> DataFrame:
         rest = members.join(pivots.select("seed", F.col("pivot").alias("class")), ["seed", "class"], "left_anti")
         rest = rest.drop("size").join(near, ["seed", "class"], "left").filter(~F.coalesce("done", F.lit(False)))
         members = _crowded(rest.withColumn("joined", F.coalesce("joined", "to")).drop("done", "to"))
-    last = _new(_leaves(whole, members, options), known)
-    known = checkpointed(known.unionByName(_distances(whole, last)))
+    last = _new(_leaves(bins, members, options), known)
+    known = checkpointed(known.unionByName(_distances(bins, items, last)))
     return checkpointed(known.filter("exact AND distance <= 0.2").select("a", "b").distinct())
 
 
@@ -291,14 +294,13 @@ def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
 ANNULUS = 1.26
 
 
-def _leaves(whole: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
+def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
     """``a, b, na, nb``: pairs in what is left of the regions that the lower bound cannot rule out.
 
     A region splits into annuli of sizes; each member is copied to the next annulus as a visitor.  An annulus of many
     members splits into blocks, and each pair of blocks is a task of its own.  Members that are linked to the same
     pivot, and so in one component, are not paired.
     """
-    bins = whole.select(F.col("row").alias("class"), "bins")
     ring = F.floor(F.log("n") / F.log(F.lit(ANNULUS))).cast("int")
     placed = members.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", F.col("ring") == ring)
     parts = placed.groupBy("seed", "ring").agg(F.count("*").alias("held"), F.max("home").alias("lived_in"))
@@ -314,11 +316,11 @@ def _leaves(whole: DataFrame, members: DataFrame, options: JaccardOptions) -> Da
             "seed", "ring", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
             "class", "n", "joined", "home",
         )
-        .join(bins, "class")
+        .join(bins.withColumnRenamed("row", "class"), "class")
     )
     keys = ["seed", "ring", "i", "j"]
     schema = "a long, b long, na int, nb int"
-    target = arrow_schema(whole.sparkSession, schema)
+    target = arrow_schema(bins.sparkSession, schema)
 
     def pairs_of(group: list[dict]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
@@ -353,13 +355,13 @@ def _leaves(whole: DataFrame, members: DataFrame, options: JaccardOptions) -> Da
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
 
 
-def _distances(whole, pairs) -> DataFrame:
+def _distances(bins, items, pairs) -> DataFrame:
     """``a, b, distance, exact`` of each pair: the distance, or a lower bound above 0.2 that spares the comparison.
 
     A link is 100 * intersection >= 80 * union, decided in whole numbers; its distance is then at most 0.2.
     """
-    sized = pairs.join(whole.select(F.col("row").alias("a"), F.col("bins").alias("bins_a")), "a").join(
-        whole.select(F.col("row").alias("b"), F.col("bins").alias("bins_b")), "b"
+    sized = pairs.join(bins.select(F.col("row").alias("a"), F.col("bins").alias("bins_a")), "a").join(
+        bins.select(F.col("row").alias("b"), F.col("bins").alias("bins_b")), "b"
     )
 
     def bound(batch):
@@ -371,8 +373,8 @@ def _distances(whole, pairs) -> DataFrame:
     far = F.col("distance") > 0.2 + 1e-9
     near = bounded.filter(~far).select("a", "b")
 
-    both = near.join(whole.select(F.col("row").alias("b"), F.col("items").alias("items_b")), "b").join(
-        whole.select(F.col("row").alias("a"), F.col("items").alias("items_a")), "a"
+    both = near.join(items.select(F.col("row").alias("b"), F.col("items").alias("items_b")), "b").join(
+        items.select(F.col("row").alias("a"), F.col("items").alias("items_a")), "a"
     )
 
     def compare(batch):
@@ -385,5 +387,5 @@ def _distances(whole, pairs) -> DataFrame:
             out["distance"].append(min(apart, 0.2) if 100 * inter >= 80 * union else max(apart, 0.2 + 1e-12))
         return out
 
-    exact = map_batches(both, compare, "a long, b long, distance double").withColumn("exact", F.lit(True))
+    exact = map_batches(both, compare, "a long, b long, distance double").distinct().withColumn("exact", F.lit(True))
     return exact.unionByName(bounded.filter(far).withColumn("exact", F.lit(False)))

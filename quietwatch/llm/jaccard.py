@@ -194,17 +194,17 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
             "row": np.repeat(np.array(batch["row"], np.int64), [len(s) for s in found]),
         }
 
-    # one shuffle serves the counts and the join
+    # one shuffle by seed; a seed that only one document has ends here
+    of_seed = Window.partitionBy("seed")
     copies = map_batches(full.select("row", "n", "first"), place, "seed long, row long")
-    copies = copies.filter("seed IS NOT NULL").repartition("seed")
-    shared = copies.groupBy("seed").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
-    of_row = full.select("row", "c1", "c2").join(classes.select("c1", "c2", "class", "n"), ["c1", "c2"])
-    members = (
-        copies.join(shared.select("seed"), "seed")
-        .join(of_row.select("row", "class", "n"), "row")
-        .select("seed", "class", "n")
-        .distinct()
+    shared = (
+        copies.withColumn("low", F.min("row").over(of_seed))
+        .withColumn("high", F.max("row").over(of_seed))
+        .filter("low < high")
+        .select("seed", "row")
     )
+    of_row = full.select("row", "c1", "c2").join(classes.select("c1", "c2", "class", "n"), ["c1", "c2"])
+    members = shared.join(of_row.select("row", "class", "n"), "row").select("seed", "class", "n").distinct()
     members = _crowded(members)
     wanted = members.select(F.col("class").alias("row")).distinct()
     bins, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)

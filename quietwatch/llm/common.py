@@ -15,7 +15,7 @@ from quietwatch.session import checkpoint_dir, configure, scratch_path
 BATCH_ROWS = 512
 
 #: Entries of a memo of words; a full memo starts anew, so its memory stays bounded.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:

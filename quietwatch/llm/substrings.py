@@ -29,7 +29,7 @@ from quietwatch.llm.common import arrow_schema, batch_of, gram_hashes, map_batch
 @dataclass(frozen=True)
 class SubstringOptions:
     window: int = 35
-    gram: int = 20
+    gram: int = 12
     hot: int = 10_000
 
     def __post_init__(self):

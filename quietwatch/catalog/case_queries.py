@@ -568,12 +568,12 @@ def queue_views(spark, sf_dir):
 
 @query(
     "queue_view_order",
-    "SELECT episode_id, due_ms FROM due WHERE bucket = 'review_required' ORDER BY due_ms, episode_id LIMIT 100",
+    "SELECT episode_id, due_ms FROM due WHERE bucket = 'review_required' ORDER BY due_ms, episode_id",
     ITEMS_SQL,
 )
 def queue_view_order(spark, sf_dir):
     view = queue.apply_view(order_items(spark, sf_dir), queue.BUILTIN_VIEWS[1])
-    return view.select("episode_id", ms("due_at").alias("due_ms")).limit(100)
+    return view.select("episode_id", ms("due_at").alias("due_ms"))
 
 
 @query(
@@ -581,7 +581,7 @@ def queue_view_order(spark, sf_dir):
     """SELECT outcome, count(*) AS requests, count(DISTINCT episode_id) AS episodes FROM (
       SELECT r.episode_id, CASE WHEN r.expected = d.version AND row_number() OVER (PARTITION BY r.episode_id, r.expected
         ORDER BY r.at, r.owner) = 1 THEN 'assigned' ELSE 'conflict' END AS outcome
-      FROM (SELECT DISTINCT 'ord_' || l_orderkey AS episode_id, 1 + l_linenumber % 3 AS expected, 'user_' || (l_suppkey % 5) AS owner,
+      FROM (SELECT 'ord_' || l_orderkey AS episode_id, 1 + l_linenumber % 3 AS expected, 'user_' || (l_suppkey % 5) AS owner,
         epoch_us(l_shipdate) // 1000 AS at FROM lineitem) r JOIN due d USING (episode_id)) GROUP BY outcome""",
     ITEMS_SQL,
 )
@@ -591,7 +591,7 @@ def queue_assignment(spark, sf_dir):
         (F.col("l_linenumber") % 3 + 1).cast("bigint").alias("expected_version"),
         F.concat(F.lit("user_"), (F.col("l_suppkey") % 5).cast("string")).alias("owner"),
         from_ms(epoch_ms("l_shipdate")).alias("requested_at"),
-    ).distinct()
+    )
     merged = queue.merge_assignments(order_items(spark, sf_dir), requests)
     return merged.groupBy("outcome").agg(
         F.count(F.lit(1)).alias("requests"), F.count_distinct("episode_id").alias("episodes")

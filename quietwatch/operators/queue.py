@@ -197,24 +197,24 @@ def merge_assignments(items: DataFrame, requests: DataFrame) -> DataFrame:
     The first request that saw the current version wins; every other one is a conflict and is told
     the owner and version that stand after the merge.
     """
-    w = Window.partitionBy("episode_id").orderBy("requested_at", "new_owner")
-    seen = requests.withColumnRenamed("owner", "new_owner").join(
-        items.select("episode_id", F.col("owner").alias("old_owner"), F.col("version").alias("old_version")),
-        "episode_id",
-    )
     current = F.col("expected_version") == F.col("old_version")
-    winners = (
-        seen.filter(current)
-        .withColumn("_rank", F.row_number().over(w))
-        .filter("_rank = 1")
-        .select("episode_id", F.col("requested_at").alias("_won_at"), F.col("new_owner").alias("_won_by"))
+    seen = (
+        requests.withColumnRenamed("owner", "new_owner")
+        .join(
+            items.select("episode_id", F.col("owner").alias("old_owner"), F.col("version").alias("old_version")),
+            "episode_id",
+        )
+        .withColumn("_current", F.coalesce(current, F.lit(False)))
+    )
+    # requests of the current version first, by time (an unknown time last); the first of them wins, once
+    order = Window.partitionBy("episode_id").orderBy(
+        F.desc("_current"), F.asc_nulls_last("requested_at"), F.asc_nulls_last("new_owner")
     )
-    joined = seen.join(winners, "episode_id", "left")
-    won = F.coalesce(
-        current
-        & (F.col("requested_at") == F.col("_won_at"))
-        & (F.col("new_owner") == F.col("_won_by")),
-        F.lit(False),
+    ranked = seen.withColumn("_rank", F.row_number().over(order))
+    won = F.col("_current") & (F.col("_rank") == 1)
+    whole = Window.partitionBy("episode_id")
+    joined = ranked.withColumn("_won", F.max(won).over(whole)).withColumn(
+        "_won_by", F.max(F.when(won, F.col("new_owner"))).over(whole)
     )
     return joined.select(
         "episode_id",
@@ -222,8 +222,8 @@ def merge_assignments(items: DataFrame, requests: DataFrame) -> DataFrame:
         "expected_version",
         "requested_at",
         F.when(won, F.lit("assigned")).otherwise(F.lit("conflict")).alias("outcome"),
-        F.coalesce("_won_by", "old_owner").alias("owner"),
-        (F.col("old_version") + F.col("_won_by").isNotNull().cast("int")).alias("version"),
+        F.when(F.col("_won"), F.col("_won_by")).otherwise(F.col("old_owner")).alias("owner"),
+        (F.col("old_version") + F.col("_won").cast("int")).alias("version"),
     )
 
 

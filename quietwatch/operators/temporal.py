@@ -57,6 +57,8 @@ def resolve_at(
     """Left as-of join: the record in force at ``at``, as a struct column ``resolved``.
 
     On overlap the latest ``valid_from`` wins, then the highest ``record_id``; no record gives NULL.
+    A probe row with a NULL key or a NULL instant is kept and resolves to NULL, whatever the size of
+    the history.
     A history of checked size is broadcast and the probe does not move.  A larger history is merged
     with the probe in time order, one shuffle and no pairing of probe rows with records.
     """
@@ -65,6 +67,7 @@ def resolve_at(
     sound = (
         well_formed(records, from_col, to_col)
         .filter(F.col(from_col).isNotNull())
+        .dropna(subset=list(keys))
         .select(
             *keys,
             start.alias("_start"),
@@ -75,7 +78,13 @@ def resolve_at(
     )
     if _is_small(records, max_broadcast):
         return _resolve_by_broadcast(probe, sound, keys, at)
-    return _resolve_by_merge(probe, sound, keys, at, hot_rows)
+    known = F.col(at).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    merged = _resolve_by_merge(probe.filter(known), sound, keys, at, hot_rows)
+    value_type = sound.schema["_value"].dataType
+    aside = probe.filter(~known).withColumn("resolved", F.lit(None).cast(value_type))
+    return merged.unionByName(aside)
 
 
 def _resolve_by_broadcast(

@@ -223,8 +223,8 @@ def _compiled(step, label, classes, start) -> Dfa:
 def combined_dfa(patterns: list[str]) -> Dfa:
     """One automaton that searches for all patterns at once, each leftmost and longest, restarting after a match.
 
-    Per rule a state keeps the threads alive.  The first thread to match is the leftmost; later starts are then
-    cut.  When nothing of a matched rule lives on, the byte is read again by a fresh start of that rule.
+    Per rule a state keeps the live threads, grouped by their start, the oldest first.  When a group matches, all
+    younger ones are cut and none is added.  When it dies, the byte is read again by a fresh start of that rule.
     """
     nfa = _Nfa()
     ends = [nfa.build(_Parser(p).parse()) for p in patterns]
@@ -235,17 +235,19 @@ def combined_dfa(patterns: list[str]) -> Dfa:
     def move(states, byte):
         return nfa.closure({t for s in states for chars, t in nfa.moves[s] if byte in chars})
 
-    def step_rule(rule: int, states: frozenset, byte: int) -> frozenset:
-        matched = ends[rule][1] in states
-        after = move(states, byte)
+    def step_rule(rule: int, part: tuple[bool, tuple], byte: int) -> tuple[bool, tuple]:
+        matched, groups = part
+        moved = list(dict.fromkeys(filter(None, (move(g, byte) for g in groups))))
+        if matched and not moved:
+            matched, moved = False, list(filter(None, [move(fresh[rule], byte)]))
+        for k, group in enumerate(moved):
+            if ends[rule][1] in group:
+                return True, tuple(moved[: k + 1])
         if matched:
-            if after:
-                return after
-            states = fresh[rule]
-            after = move(states, byte)
-        return after if ends[rule][1] in after else after | fresh[rule]
+            raise ValueError(f"a match of {patterns[rule]} could go on after its end")
+        return False, tuple(dict.fromkeys([*moved, fresh[rule]]))
 
-    begin = tuple(fresh)
+    begin = tuple((False, (f,)) for f in fresh)
     index, todo, step, label = {begin: 0}, [begin], [], []
     memo: dict = {}
     for state in todo:
@@ -263,7 +265,7 @@ def combined_dfa(patterns: list[str]) -> Dfa:
                 todo.append(nxt)
             row.append(index[nxt])
         step.append(row)
-        label.append(tuple(r for r, part in enumerate(state) if ends[r][1] in part))
+        label.append(tuple(r for r, part in enumerate(state) if part[0]))
     # a state whose match goes on must be told from one where a new match of the same rule just began
     step, label, where = _minimal(step, label)
     return _compiled(step, label, classes, where[0])

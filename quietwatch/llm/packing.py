@@ -21,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwatch.llm.common import MEMO_WORDS, arrow_schema, batch_of
+from quietwatch.llm.common import arrow_schema, batch_of
 
 ID_BYTES = 4
 
+#: Words in each of the two generations of a tokenizer's memo.
+GENERATION_WORDS = 800_000
+
 
 @dataclass(frozen=True)
 class PackingOptions:
@@ -51,11 +54,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.chunk = chunk
 
+    def ready(self, words: set[bytes]) -> None:
+        """See that all words are in the memo.  A full memo becomes the old one, from which words still come back."""
+        missing = words - self.memo.keys()
+        if len(self.memo) + len(missing) > GENERATION_WORDS:
+            self.old, self.memo, missing = self.memo, {}, words
+        kept = missing & self.old.keys()
+        self.memo.update((w, self.old[w]) for w in kept)
+        self.learn(list(missing - kept))
+
     def learn(self, words: list[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
         for at in range(0, len(words), self.chunk):
             part = [w.decode() for w in words[at : at + self.chunk]]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -69,12 +80,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        missing = set().union(*split) - self.memo.keys() if split else set()
-        if missing:
-            held = len(self.memo)
-            self.learn(sorted(missing))
-            if len(self.memo) < held + len(missing):  # the memo began anew
-                self.learn(sorted(set().union(*split) - self.memo.keys()))
+        self.ready(set().union(*split))
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

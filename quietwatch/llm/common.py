@@ -19,7 +19,9 @@ MEMO_WORDS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Settings of this folder.  Shuffle files go when the action that made them ends: checkpoints hold what is used again."""
     configure(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

@@ -90,6 +90,10 @@ def seeds_of(first: np.ndarray, n: int, busy: np.ndarray) -> np.ndarray:
     return np.concatenate([plain, first[:size][is_busy[:size]]])
 
 
+def _seeds(first: bytes) -> np.ndarray:
+    return np.frombuffer(first, "<u8")
+
+
 def far_apart(bins_a: np.ndarray, bins_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Lower bounds of the Jaccard distance, by row."""
     total = (n_a + n_b).astype(np.float64)
@@ -100,11 +104,12 @@ def far_apart(bins_a: np.ndarray, bins_b: np.ndarray, n_a: np.ndarray, n_b: np.n
 def read_sets(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptions) -> DataFrame:
     """``row, doc_id, print, n, c1, c2, bins, first`` of each document, written to the shared folder.
 
-    ``row`` numbers the documents; ``print`` hashes the text; (c1, c2) is a 128-bit name of the set; ``first`` are its smallest shingles.
+    ``row`` numbers the documents; ``print`` hashes the text; (c1, c2) is a 128-bit name of the set; ``first`` are its smallest shingles,
+    eight bytes each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, print long, n int, c1 long, c2 long, bins binary, first array<long>"
+    schema = f"row long, doc_id {id_type}, print long, n int, c1 long, c2 long, bins binary, first binary"
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
@@ -117,7 +122,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptio
                 bins = np.minimum(np.bincount(s & np.uint64(BINS - 1), minlength=BINS), 65_535)
                 values = (
                     number, doc_id, text_print, len(s), int(name[0]), int(name[1]), bins.astype("<u2").tobytes(),
-                    s[: stored_size(len(s))].view(np.int64),
+                    s[: stored_size(len(s))].tobytes(),
                 )
                 number += 1
                 for column, value in zip(out.values(), values, strict=True):
@@ -174,8 +179,11 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
         full.groupBy("c1", "c2").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     )
 
+    def plain(batch):
+        return {"seed": np.concatenate([_seeds(f)[: window_size(n)] for f, n in zip(batch["first"], batch["n"], strict=True)]).view(np.int64)}
+
     counted = (
-        full.select(F.explode(F.slice("first", 1, F.expr("n div 5 + 1").cast("int"))).alias("seed"))
+        map_batches(full.select("n", "first"), plain, "seed long")
         .groupBy("seed").count().filter(F.col("count") >= options.busy)
         .orderBy(F.desc("count"), "seed").limit(options.busy_seeds)
     )
@@ -186,7 +194,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
 
     def place(batch):
         found = [
-            seeds_of(np.array(f, np.int64).view(np.uint64), n, busy.value)
+            seeds_of(_seeds(f), n, busy.value)
             for f, n in zip(batch["first"], batch["n"], strict=True)
         ]
         return {

@@ -187,9 +187,9 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
         .groupBy("seed").count().filter(F.col("count") >= options.busy)
         .orderBy(F.desc("count"), "seed").limit(options.busy_seeds)
     )
-    # at most busy_seeds numbers
+    # at most busy_seeds numbers, eight bytes each on the driver
     busy = spark.sparkContext.broadcast(
-        np.sort(np.array([r["seed"] for r in counted.select("seed").collect()], np.int64).view(np.uint64))
+        np.sort(checkpointed(counted.select("seed")).toArrow().column("seed").to_numpy().view(np.uint64))
     )
 
     def place(batch):

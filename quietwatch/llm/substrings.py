@@ -77,13 +77,14 @@ def repeated_windows(
 
     sent = written(map_batches(rows, send, "minimiser long, k1 long, k2 long"), "super-kmers")
     common = sent.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = (
+    wanted = written(
         sent.join(common, "minimiser")
         .groupBy("k1", "k2")
         .agg(
             F.collect_set("minimiser").alias("minimisers"),
             F.collect_set(F.when(F.col("n") > options.hot, F.col("minimiser"))).alias("hot"),
-        )
+        ),
+        "repeated-minimisers",
     )
     width = options.window
 
@@ -181,7 +182,8 @@ def shortened(
     All copies of a repeated window go.  Documents with fewer words than a window, and null or empty texts, lose
     nothing and have no row.  Rows that repeat an id and a text repeat each other's windows.
     """
-    places = repeated_windows(docs, id_col, text_col, options).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    found = repeated_windows(docs, id_col, text_col, options)
+    places = written(found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")), "repeated-windows")
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
     def cut(batch):

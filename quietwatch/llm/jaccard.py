@@ -216,10 +216,10 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
     members = _crowded(members)
     wanted = members.select(F.col("class").alias("row")).distinct()
     bins, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
-    links = _recursion(bins, items, members, options)
+    links, paths = _recursion(bins, items, members, options)
     items.unpersist()
 
-    roots = connected(links)
+    roots = connected(paths)
     named = classes.select("class", "c1", "c2", "least").join(
         roots.withColumnRenamed("node", "class"), "class", "left"
     ).withColumn("root", F.coalesce("root", "class"))
@@ -257,11 +257,10 @@ def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFram
     return names.select("row", "bins"), built.repartition(partitions, "row").persist()
 
 
-def _recursion(bins, items, members, options) -> DataFrame:
-    """All links between classes that a component needs: ``a, b``, the smaller first."""
+def _recursion(bins, items, members, options) -> tuple[DataFrame, DataFrame]:
+    """All links between classes that a component needs, ``a, b``, the smaller first; and fewer of the same reach."""
     spark = bins.sparkSession
     known = spark.createDataFrame([], "a long, b long, distance double, exact boolean")
-    members = members.withColumn("joined", F.lit(None).cast("long"))
     for _ in range(options.pivot_turns):
         if members.isEmpty():
             break
@@ -283,15 +282,18 @@ def _recursion(bins, items, members, options) -> DataFrame:
         near = measured.filter(linked).join(outer, "seed", "left").select(
             "seed",
             F.col("b").alias("class"),
-            F.col("a").alias("to"),
             (F.col("outer").isNull() | (F.col("distance") + 0.2 < F.col("outer") - 1e-9)).alias("done"),
         )
         rest = members.join(pivots.select("seed", F.col("pivot").alias("class")), ["seed", "class"], "left_anti")
         rest = rest.drop("size").join(near, ["seed", "class"], "left").filter(~F.coalesce("done", F.lit(False)))
-        members = _crowded(rest.withColumn("joined", F.coalesce("joined", "to")).drop("done", "to"))
-    last = _new(_leaves(bins, members, options), known)
-    known = checkpointed(known.unionByName(_distances(bins, items, last)))
-    return checkpointed(known.filter("exact AND distance <= 0.2").select("a", "b").distinct())
+        members = _crowded(rest.drop("done"))
+    is_link = "exact AND distance <= 0.2"
+    early = checkpointed(connected(known.filter(is_link).select("a", "b")))
+    joined = members.join(early.select(F.col("node").alias("class"), F.col("root").alias("joined")), "class", "left")
+    last = _new(_leaves(bins, joined.withColumn("joined", F.coalesce("joined", "class")), options), known)
+    late = checkpointed(_distances(bins, items, last).filter(is_link).select("a", "b"))
+    links = known.filter(is_link).select("a", "b").unionByName(late).distinct()
+    return links, late.unionByName(early.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
 def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -300,14 +302,16 @@ def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 #: Sizes of linked sets differ by a factor of 1.25 at most, so they lie in the same annulus or in neighbouring ones.
 ANNULUS = 1.26
+#: A task hands over about so many pairs at a time.
+PAIRS = 50_000
 
 
 def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
     """``a, b, na, nb``: pairs in what is left of the regions that the lower bound cannot rule out.
 
     A region splits into annuli of sizes; each member is copied to the next annulus as a visitor.  An annulus of many
-    members splits into blocks, and each pair of blocks is a task of its own.  Members that are linked to the same
-    pivot, and so in one component, are not paired.
+    members splits into blocks, and each pair of blocks is a task of its own.  Members that the pivots have brought
+    into one component, ``joined``, are not paired, so a group of near copies adds no pairs here.
     """
     ring = F.floor(F.log("n") / F.log(F.lit(ANNULUS))).cast("int")
     placed = members.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", F.col("ring") == ring)
@@ -330,35 +334,36 @@ def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> Dat
     schema = "a long, b long, na int, nb int"
     target = arrow_schema(bins.sparkSession, schema)
 
-    def pairs_of(group: list[dict]) -> dict[str, list]:
-        out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
+    def pairs_of(group: list[dict]):
+        """The pairs of one member with all later ones, time after time."""
         wide = np.frombuffer(b"".join(r["bins"] for r in group), "<u2").reshape(-1, BINS).astype(np.int32)
-        ids, n, own = (np.array([r[c] for r in group]) for c in ("class", "n", "own"))
-        home = np.array([r["home"] for r in group])
-        tag = np.array([-1 if r["joined"] is None else r["joined"] for r in group])
+        ids, n, own, home, tag = (np.array([r[c] for r in group]) for c in ("class", "n", "own", "home", "joined"))
         crossing = group[0]["i"] != group[0]["j"]
         for k in range(len(group) - 1):
             rest = slice(k + 1, None)
-            good = (home[k] | home[rest]) & ((tag[k] < 0) | (tag[rest] != tag[k]))
+            good = (home[k] | home[rest]) & (tag[rest] != tag[k])
             if crossing:
                 good &= own[rest] != own[k]
             at = np.flatnonzero(good & (np.minimum(n[k], n[rest]) * 5 >= np.maximum(n[k], n[rest]) * 4)) + k + 1
-            if not len(at):
-                continue
-            at = at[far_apart(wide[at], wide[k][None], n[at], n[k]) <= 0.2 + 1e-9]
-            swap = ids[at] < ids[k]
-            out["a"] += np.where(swap, ids[at], ids[k]).tolist()
-            out["b"] += np.where(swap, ids[k], ids[at]).tolist()
-            out["na"] += np.where(swap, n[at], n[k]).tolist()
-            out["nb"] += np.where(swap, n[k], n[at]).tolist()
-        return out
+            if len(at):
+                at = at[far_apart(wide[at], wide[k][None], n[at], n[k]) <= 0.2 + 1e-9]
+            if len(at):
+                swap = ids[at] < ids[k]
+                low, high = np.where(swap, ids[at], ids[k]), np.where(swap, ids[k], ids[at])
+                yield low, high, np.where(swap, n[at], n[k]), np.where(swap, n[k], n[at])
 
     def run(batches):
         rows = (r for batch in batches for r in batch.to_pylist())
+        held, size = [], 0
         for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-            found = pairs_of(list(group))
-            if found["a"]:
-                yield batch_of(found, target)
+            for found in pairs_of(list(group)):
+                held.append(found)
+                size += len(found[0])
+                if size >= PAIRS:
+                    yield batch_of(dict(zip(target.names, map(np.concatenate, zip(*held)))), target)
+                    held, size = [], 0
+        if held:
+            yield batch_of(dict(zip(target.names, map(np.concatenate, zip(*held)))), target)
 
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
 

@@ -108,16 +108,20 @@ def repeated_windows(
     ).repartition("bucket")
 
     def unpack(batch):
-        out = {"print": [], "k1": [], "k2": [], "place": []}
-        for k1, k2, start, words in zip(
-            batch["k1"], batch["k2"], batch["start"], (p.split(b" ") for p in batch["packed"]), strict=True
-        ):
-            n = len(words) - width + 1
-            out["print"] += [xxhash.xxh3_128_digest(b" ".join(words[i : i + width])) for i in range(n)]
-            out["k1"] += [k1] * n
-            out["k2"] += [k2] * n
-            out["place"] += range(start, start + n)
-        return out
+        prints, sizes = [], []
+        for packed in batch["packed"]:
+            blanks = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
+            begin, end = [0, *(blanks + 1).tolist()], [*blanks.tolist(), len(packed)]
+            found = [xxhash.xxh3_128_digest(packed[a:b]) for a, b in zip(begin, end[width - 1 :])]
+            prints += found
+            sizes.append(len(found))
+        first = np.repeat(np.array(batch["start"], np.int32) - np.cumsum([0, *sizes[:-1]]), sizes)
+        return {
+            "print": prints,
+            "k1": np.repeat(np.array(batch["k1"], np.int64), sizes),
+            "k2": np.repeat(np.array(batch["k2"], np.int64), sizes),
+            "place": (first + np.arange(len(prints))).astype(np.int32),
+        }
 
     sorted_rows = map_batches(packed, unpack, "print binary, k1 long, k2 long, place int").sortWithinPartitions("print")
     target = arrow_schema(docs.sparkSession, "k1 long, k2 long, place int")

@@ -6,8 +6,10 @@ super-k-mer) can only meet its repeats among the super-k-mers of the same minimi
 
 1. Every super-k-mer sends its minimiser alone.  Minimisers met once cannot hold a repeated window and end here.
 2. The others travel as one packed string of words to the bucket of their minimiser.  A minimiser met more than
-   ``hot`` times is spread: its windows travel one by one to buckets of their own content.
+   ``hot`` times is spread: its windows travel one by one to ``salts`` buckets of their own content.
 3. In a bucket the windows are sorted by 128-bit fingerprints of their words; equal neighbours are repeats.
+4. Of a spread window each bucket hands over one row, a window that is alone there or a witness of repeats.  Those few
+   rows meet by fingerprint, so that no task gets all places of a passage that very many documents share.
 
 Nothing is gathered but the words, minimisers and marks of one document.
 """
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwatch.llm.common import arrow_schema, batch_of, gram_hashes, map_batches, word_hashes, written
@@ -31,6 +33,7 @@ class SubstringOptions:
     window: int = 35
     gram: int = 12
     hot: int = 10_000
+    salts: int = 64
 
     def __post_init__(self):
         if not 0 < self.gram <= self.window:
@@ -98,7 +101,9 @@ def repeated_windows(
                 if m in spread:
                     for i in range(a, a + n):
                         window = b" ".join(words[i : i + width])
-                        _append(out, xxhash.xxh3_64_intdigest(window) - (1 << 63), k1, k2, i, window)
+                        salt = (k1 + k2 + i) % options.salts
+                        # a spread window has the complement of its place, so that it is known as such
+                        _append(out, xxhash.xxh3_64_intdigest(window, salt) - (1 << 63), k1, k2, ~i, window)
                 else:
                     _append(out, m, k1, k2, a, b" ".join(words[a : a + n + width - 1]))
         return out
@@ -124,43 +129,45 @@ def repeated_windows(
         }
 
     sorted_rows = map_batches(packed, unpack, "print binary, k1 long, k2 long, place int").sortWithinPartitions("print")
-    target = arrow_schema(docs.sparkSession, "k1 long, k2 long, place int")
+    schema = "k1 long, k2 long, place int, print binary"
+    target = arrow_schema(docs.sparkSession, schema)
+
+    def picked(rows: pa.Table, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        """Repeats without their print; of a spread window also what is left to compare, with it, witnesses without a place."""
+        k1, k2, place = (rows.column(c).to_numpy() for c in ("k1", "k2", "place"))
+        spread = place < 0
+        place = np.where(spread, ~place, place)
+        repeat = np.flatnonzero(before | after)
+        open_ones = np.flatnonzero(spread & ~before)
+        prints = pa.concat_arrays([
+            pa.nulls(len(repeat), pa.binary()),
+            rows.column("print").combine_chunks().cast(pa.binary()).take(pa.array(open_ones)),
+        ])
+        both = np.r_[repeat, open_ones]
+        left = np.where(after[open_ones], -1, place[open_ones])
+        return batch_of({"k1": k1[both], "k2": k2[both], "place": np.r_[place[repeat], left], "print": prints}, target)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose print equals a neighbour's, the last row of a batch held back until the next is seen."""
-        held = None
+        """Compares each print with its neighbours; the last row of a batch is held back until the next is seen."""
+        held, seen = None, False
         for batch in batches:
-            chunk = pa.Table.from_batches([batch] if held is None else [held, batch])
-            prints = chunk.column("print").combine_chunks()
-            if len(prints) < 2:
-                held = chunk.combine_chunks().to_batches()[0]
+            if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(-1, 2)
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch])
+            raw = np.frombuffer(b"".join(rows.column("print").to_pylist()), "<u8").reshape(-1, 2)
             same = (raw[1:] == raw[:-1]).all(axis=1)
-            mark = np.r_[False, same] | np.r_[same, False]
-            # the last row goes out with the next batch; a repeat that is known already carries a mark along
-            known = held is not None and bool(held.column("known")[0].as_py()) if held is not None else False
-            mark[0] = mark[0] or known
-            keep = np.flatnonzero(mark[:-1])
-            if len(keep):
-                picked = chunk.select(["k1", "k2", "place"]).take(pa.array(keep)).combine_chunks()
-                for part in picked.to_batches():
-                    yield pa.RecordBatch.from_arrays([part.column(n) for n in target.names], schema=target)
-            last = chunk.slice(len(prints) - 1).select(["print", "k1", "k2", "place"]).combine_chunks()
-            held = last.append_column("known", pa.array([bool(mark[-1])])).to_batches()[0]
-        if held is not None and "known" in held.schema.names and held.column("known")[0].as_py():
-            yield batch_of({n: held.column(n).to_pylist() for n in target.names}, target)
+            before = np.r_[seen, same]
+            if len(same):
+                yield picked(rows.slice(0, len(same)), before[:-1], same)
+            held, seen = rows.slice(len(same)).combine_chunks().to_batches()[0], bool(before[-1])
+        if held is not None:
+            yield picked(pa.Table.from_batches([held]), np.array([seen]), np.array([False]))
 
-    return sorted_rows.mapInArrow(_with_known(pick), "k1 long, k2 long, place int")
-
-
-def _with_known(pick):
-    """Every batch gets the column that tells whether a held row is a repeat already."""
-
-    def run(batches):
-        return pick(b.append_column("known", pa.array([False] * b.num_rows)) for b in batches if b.num_rows)
-
-    return run
+    found = written(sorted_rows.mapInArrow(pick, schema), "repeated-windows")
+    # at most one row of each bucket, so at most ``salts`` with one print
+    met = F.count("*").over(Window.partitionBy("print"))
+    late = found.filter("print IS NOT NULL").withColumn("met", met).filter("met > 1 AND place >= 0")
+    return found.filter("print IS NULL").select("k1", "k2", "place").unionByName(late.select("k1", "k2", "place"))
 
 
 def _append(out: dict, *values) -> None:
@@ -187,7 +194,7 @@ def shortened(
     nothing and have no row.  Rows that repeat an id and a text repeat each other's windows.
     """
     found = repeated_windows(docs, id_col, text_col, options)
-    places = written(found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")), "repeated-windows")
+    places = found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
     def cut(batch):

@@ -109,6 +109,21 @@ def test_substrings_against_brute_force(docs, empty, hot):
     assert substrings.digests(empty, options=options).count() == 0
 
 
+def test_spread_windows_meet_across_buckets(spark):
+    texts = [passage(0, 90)] * 30 + [passage(0, 60), passage(40, 110), "z " * 400, passage(100, 150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in enumerate(brute_cut(texts, 35))}
+    options = substrings.SubstringOptions(hot=0)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # else the few rows of this test meet in one partition
+    try:
+        assert {r.doc_id: r.kept_sha256 for r in substrings.digests(frame, options=options).collect()} == want
+        prints = Counter((r.k1, r.k2, r.place) for r in substrings.repeated_windows(frame, options=options).collect())
+        assert set(prints.values()) == {1}
+    finally:
+        spark.conf.unset(name)
+
+
 def test_packing_covers_every_id_once(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = packing.WordTokenizer(path).tokenizer

@@ -79,7 +79,8 @@ def repeated_windows(
         }
 
     sent = written(map_batches(rows, send, "minimiser long, k1 long, k2 long"), "super-kmers")
-    common = sent.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join has a shuffle of its own for each side and Spark can split a minimiser that is very common
+    common = written(sent.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1"), "common-minimisers")
     wanted = written(
         sent.join(common, "minimiser")
         .groupBy("k1", "k2")

@@ -16,7 +16,8 @@ at distance 1 from any of them.  So regions come in two levels, and both bounds
 Before sets are compared, counts of their shingles by 128 hash classes bound the distance from below (each class is a
 pivot set; the differences add up to a lower bound of the symmetric difference).
 
-Documents with equal sets are one class throughout.  Links end in ``components.connected``.
+Documents with equal sets are one class throughout.  Links end in ``components.connected``.  The recursion finds the
+components only; where links are asked for, they are counted afterwards from all pairs of classes of a component.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ class JaccardOptions:
     """``busy``: a seed met in so many windows is skipped.  At most ``busy_seeds`` are skipped, the most frequent.
 
     Up to ``broadcast_rows`` names of classes are broadcast to the texts; more are joined by a shuffle.
+    To count links a component splits into blocks of ``count_rows`` classes, at most ``count_blocks`` of them while
+    each holds no more than about ``count_items`` shingles.
     """
 
     words: int = 5
@@ -51,6 +54,9 @@ class JaccardOptions:
     pivot_turns: int = 2
     broadcast_rows: int = 1_000_000
     block: int = 2_000
+    count_rows: int = 500
+    count_blocks: int = 64
+    count_items: int = 2_000_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -138,11 +144,12 @@ def join(
     """One row per document: ``doc_id, n_shingles, n_links, component_id``.
 
     ``component_id`` is the smallest id reachable over links, the own one included; ``n_links`` counts the links of
-    the document's class that were needed to find the component.  A text without words has no shingles and no links.
+    the document's class, that is all other sets of shingles with similarity 0.8 or more; copies with an equal set count
+    as one.  A text without words has no shingles and no links.
     Rows that repeat an id are documents like any other.  Null ids are never a component's name unless it has no
     other.
     """
-    return labelled(docs, id_col, text_col, options).select(
+    return labelled(docs, id_col, text_col, options, count=True).select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -170,8 +177,11 @@ def keep_one(
     return once.select(*docs.columns).unionByName(docs.filter(~with_words))
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptions) -> DataFrame:
-    """``row, doc_id, print, n, root, component_id, n_links``; the last three are null for texts without words."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptions, count: bool = False) -> DataFrame:
+    """``row, doc_id, print, n, c1, c2, root, component_id``; the last two are null for texts without words.
+
+    With ``count`` also ``n_links``, null where there are none.
+    """
     spark = docs.sparkSession
     sets = read_sets(docs, id_col, text_col, options)
     full = sets.filter("n > 0")
@@ -216,17 +226,20 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
     members = _crowded(members)
     wanted = members.select(F.col("class").alias("row")).distinct()
     bins, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
-    links, paths = _recursion(bins, items, members, options)
+    roots = connected(_recursion(bins, items, members, options))
+    if count:
+        kin = roots.withColumnRenamed("node", "class").join(classes.select("class", "n"), "class")
+        degree = checkpointed(_degrees(items, kin, options))
     items.unpersist()
 
-    roots = connected(paths)
     named = classes.select("class", "c1", "c2", "least").join(
         roots.withColumnRenamed("node", "class"), "class", "left"
     ).withColumn("root", F.coalesce("root", "class"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
-    degree = ends.groupBy("class").agg(F.count("*").alias("n_links"))
-    labels = named.join(ids, "root").join(degree, "class", "left").select("c1", "c2", "root", "component_id", "n_links")
+    labels = named.join(ids, "root")
+    if count:
+        labels = labels.join(degree, "class", "left")
+    labels = labels.drop("class", "least")
     return sets.select("row", "doc_id", "print", "n", "c1", "c2").join(labels, ["c1", "c2"], "left")
 
 
@@ -257,8 +270,8 @@ def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFram
     return names.select("row", "bins"), built.repartition(partitions, "row").persist()
 
 
-def _recursion(bins, items, members, options) -> tuple[DataFrame, DataFrame]:
-    """All links between classes that a component needs, ``a, b``, the smaller first; and fewer of the same reach."""
+def _recursion(bins, items, members, options) -> DataFrame:
+    """Pairs of classes, ``a, b``, that reach as far as all links do."""
     spark = bins.sparkSession
     known = spark.createDataFrame([], "a long, b long, distance double, exact boolean")
     for _ in range(options.pivot_turns):
@@ -292,8 +305,7 @@ def _recursion(bins, items, members, options) -> tuple[DataFrame, DataFrame]:
     joined = members.join(early.select(F.col("node").alias("class"), F.col("root").alias("joined")), "class", "left")
     last = _new(_leaves(bins, joined.withColumn("joined", F.coalesce("joined", "class")), options), known)
     late = checkpointed(_distances(bins, items, last).filter(is_link).select("a", "b"))
-    links = known.filter(is_link).select("a", "b").unionByName(late).distinct()
-    return links, late.unionByName(early.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return late.unionByName(early.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
 def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -402,3 +414,114 @@ def _distances(bins, items, pairs) -> DataFrame:
 
     exact = map_batches(both, compare, "a long, b long, distance double").distinct().withColumn("exact", F.lit(True))
     return exact.unionByName(bounded.filter(far).withColumn("exact", F.lit(False)))
+
+
+#: Classes and shingles of a tile: pairs are compared tile by tile.
+TILE_ROWS, TILE_ITEMS = 512, 200_000
+#: Shingles of a tile that are multiplied at a time.
+COLUMNS = 4_096
+
+
+def _tiles(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The places of the sets, by size, in tiles."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    tiles, start, held = [], 0, 0
+    for at, k in enumerate(order):
+        if at > start and (at - start >= TILE_ROWS or held + len(sets[k]) > TILE_ITEMS):
+            tiles.append(order[start:at])
+            start, held = at, 0
+        held += len(sets[k])
+    return [*tiles, order[start:]]
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of the two lists are linked: 100 * intersection >= 80 * union, decided in whole numbers."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    inter = np.zeros((len(left), len(right)), np.int64)
+    if not len(shared):
+        return inter > 0
+    places = []
+    for items, n in zip(flat, sizes, strict=True):
+        column = np.minimum(np.searchsorted(shared, items), len(shared) - 1)
+        hit = shared[column] == items
+        row, column = np.repeat(np.arange(len(n)), n)[hit], column[hit]
+        by_column = np.argsort(column, kind="stable")
+        places.append((row[by_column], column[by_column]))
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        dense = []
+        for (row, column), n in zip(places, sizes, strict=True):
+            part = slice(*np.searchsorted(column, [low, low + width]))
+            dense.append(np.zeros((len(n), width), np.float32))
+            dense[-1][row[part], column[part] - low] = 1
+        inter += (dense[0] @ dense[1].T).astype(np.int64)
+    return 9 * inter >= 4 * (sizes[0][:, None] + sizes[1])
+
+
+def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Links of each set of ``left`` to ``right`` and the other way; without ``right`` among themselves."""
+    sides = [left] if right is None else [left, right]
+    counts = [np.zeros(len(side), np.int64) for side in sides]
+    tiles = [_tiles(side) for side in sides]
+    for x, a in enumerate(tiles[0]):
+        for b in tiles[0][x:] if right is None else tiles[1]:
+            sets_a, sets_b = [left[k] for k in a], [sides[-1][k] for k in b]
+            # tiles go by size, so their ends tell whether any pair can be linked
+            if len(sets_a[-1]) * 5 < len(sets_b[0]) * 4 or len(sets_b[-1]) * 5 < len(sets_a[0]) * 4:
+                continue
+            found = linked(sets_a, sets_b)
+            if right is None and a is b:
+                counts[0][a] += found.sum(axis=1) - 1
+            else:
+                counts[0][a] += found.sum(axis=1)
+                counts[-1][b] += found.sum(axis=0)
+    return counts
+
+
+def _degrees(items: DataFrame, kin: DataFrame, options: JaccardOptions) -> DataFrame:
+    """``class, n_links`` of the classes in ``kin``: ``class, root, n``.
+
+    Linked classes are of one component.  A component splits into blocks, each pair of blocks is a task of its own, and
+    a task hands over one number for each class.
+    """
+    parts = kin.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
+    by_rows = F.least(F.ceil(F.col("held") / options.count_rows), F.lit(options.count_blocks))
+    blocks = F.greatest(by_rows, F.ceil(F.col("weight") / options.count_items)).cast("int")
+    placed = checkpointed(kin.join(parts.select("root", "held", blocks.alias("blocks")), "root"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    tasks = (
+        placed.filter("held > 2")
+        .select("root", "class", "blocks", own.alias("own"))
+        # rows equal in id and text have one set
+        .join(items.dropDuplicates(["row"]).withColumnRenamed("row", "class"), "class")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
+    )
+    keys = ["root", "i", "j"]
+    schema = "class long, n_links long"
+    target = arrow_schema(items.sparkSession, schema)
+
+    def run(batches):
+        rows = (r for batch in batches for r in batch.to_pylist())
+        ids, counts, size = [], [], 0
+        for (_, i, j), group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            sides = {k: ([], []) for k in sorted({i, j})}
+            for r in group:
+                sides[r["own"]][0].append(r["class"])
+                sides[r["own"]][1].append(np.frombuffer(r["items"], "<u8"))
+            if not all(held for held, _ in sides.values()):
+                continue
+            ids += [np.array(held, np.int64) for held, _ in sides.values()]
+            counts += link_counts(*(sets for _, sets in sides.values()))
+            size += sum(len(held) for held, _ in sides.values())
+            if size >= PAIRS:
+                yield batch_of({"class": np.concatenate(ids), "n_links": np.concatenate(counts)}, target)
+                ids, counts, size = [], [], 0
+        if ids:
+            yield batch_of({"class": np.concatenate(ids), "n_links": np.concatenate(counts)}, target)
+
+    counted = tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    in_pair = placed.filter("held = 2").select("class", F.lit(1).cast("long").alias("n_links"))
+    return counted.unionByName(in_pair).groupBy("class").agg(F.sum("n_links").alias("n_links"))

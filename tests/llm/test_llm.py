@@ -84,6 +84,39 @@ def test_jaccard_against_brute_force(spark, busy):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize(("count_rows", "count_items"), [(500, 2_000_000), (3, 2_000_000), (500, 900)])
+def test_jaccard_counts_every_link(spark, count_rows, count_items):
+    rng = np.random.default_rng(7)
+    base = [[f"v{x}" for x in rng.integers(0, 400, 60)] for _ in range(4)]
+    texts = [passage(0, 60), passage(0, 60) + " b", passage(0, 60) + " c", passage(0, 60), "one two", "One TWO", ""]
+    texts += [passage(100 + i, 150 + i) for i in range(0, 30, 3)]  # a chain
+    for i in range(60):
+        words = list(base[i % 4])
+        for _ in range(int(rng.integers(0, 5))):
+            words[int(rng.integers(0, 60))] = f"z{rng.integers(0, 9)}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    options = jaccard.JaccardOptions(count_rows=count_rows, count_items=count_items)
+    got = {r.doc_id: r.n_links for r in jaccard.join(frame, options=options).collect()}
+    sets = [frozenset(shingle_set(t)) for t in texts]
+    different = set(sets) - {frozenset()}
+    want = [sum(100 * len(s & d) >= 80 * len(s | d) for d in different if d != s) if s else 0 for s in sets]
+    assert got == dict(enumerate(want)) and want[:7] == [2, 2, 2, 2, 0, 0, 0]
+
+
+def test_jaccard_links_of_tiles(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 5)
+    monkeypatch.setattr(jaccard, "TILE_ITEMS", 150)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 44, int(rng.integers(30, 300)))).astype(np.uint64) for _ in range(40)]
+    pair = lambda p, q: 100 * len(set(p) & set(q)) >= 80 * len(set(p) | set(q))
+    want = np.array([[pair(p, q) for q in sets] for p in sets])
+    assert jaccard.link_counts(sets)[0].tolist() == (want.sum(axis=1) - 1).tolist()
+    left, right = jaccard.link_counts(sets[:15], sets[15:])
+    assert left.tolist() == want[:15, 15:].sum(axis=1).tolist() and right.tolist() == want[:15, 15:].sum(axis=0).tolist()
+
+
 def brute_cut(texts, window):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))

@@ -178,6 +178,23 @@ def test_packing_covers_every_id_once(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ids_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["x <|endoftext|> y", "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|startoftext|>", "plain <|endof text|>"]
+    texts += [f" \n{t}\t " for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = Tokenizer.from_file(path)
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    pieces = {}
+    for r in packing.pack_documents(frame, path).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+        assert r.doc_tokens == len(want[r.doc_id])
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in pieces.items()} == want
+    assert want[0][1] == 49407
+
+
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST] \\ \\n <s>"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, None, None), (1, 3, "tool [/ROLE]", "x"),

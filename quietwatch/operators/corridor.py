@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from quietwatch.session import checkpoint_dir
 
 CLAIM = "possible corridor"
 MAX_CELL_RESOLUTION = 6
+EARTH_M = 6_371_000.0
 
 # Relative slack that keeps a node of a shortest path in spite of rounding; it only adds candidates.
 _SLACK = 1e-9
@@ -180,14 +182,15 @@ def project_corridors(
     """Corridor status per request, and the cells of each corridor.
 
     ``requests``: request_id, from_node, to_node, elapsed_s, max_speed_kph.
-    ``nodes``: node_id, cell.  The second frame has request_id, cell, role, where role is
+    ``nodes``: node_id, cell.  A request with an end that is not among them is infeasible.  The second frame has request_id, cell, role, where role is
     ``feasible``, ``endpoint`` or ``unavoidable``.
     """
     asked = requests.withColumn(
         "budget_m", F.col("elapsed_s") * F.col("max_speed_kph") / F.lit(3.6)
     ).checkpoint()
     ways = passable_edges(edges, profile).checkpoint()
-    feasible = feasible_nodes(asked, ways).checkpoint()
+    known = nodes.select(F.col("node_id").alias("node"))
+    feasible = feasible_nodes(asked, ways).join(known, "node", "left_semi").checkpoint()
     unavoidable = unavoidable_cells(asked, ways, nodes, feasible).checkpoint()
 
     ends_met = feasible.join(
@@ -327,30 +330,36 @@ def coarsen(cell_resolution: Column) -> Column:
 def nearest_node(points: DataFrame, nodes: DataFrame, degrees: float = 0.01) -> DataFrame:
     """Nearest node of each point: ``point_id``, ``node_id``, ``distance_m``; ties take the lower id.
 
-    Points look at their own and the eight neighbouring grid cells.  An answer farther away than
-    one cell could be beaten from outside, so those points try again on a grid twice as coarse.
+    Points look at their own and the eight neighbouring grid cells; longitude cells divide the full circle and wrap.
+    An answer farther away than one cell could be beaten from outside, so those points try again on a grid twice as
+    coarse.
     """
     checkpoint_dir(points.sparkSession)
     waiting = points.select("point_id", "lat", "lon")
     settled: DataFrame | None = None
     while True:
-        def index(column: str, step: float = degrees) -> Column:
-            return F.floor(F.col(column) / F.lit(step))
+        whole_globe = degrees >= 360
+        turns = max(1, int(360 // degrees))
+        row = F.floor(F.col("lat") / F.lit(degrees))
+        place = F.floor(F.col("lon") * F.lit(turns / 360.0))
+
+        def wrapped(cell: Column) -> Column:
+            return F.pmod(cell, F.lit(turns).cast("bigint"))
 
         near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        sides = F.array_distinct(F.transform(near, lambda d: wrapped(place + d)))
         around = (
-            waiting.withColumn("_dx", F.explode(near))
-            .withColumn("_dy", F.explode(near))
-            .withColumn("_cx", index("lat") + F.col("_dx"))
-            .withColumn("_cy", index("lon") + F.col("_dy"))
-            .drop("_dx", "_dy")
+            waiting.withColumn("_cy", F.explode(sides))
+            .withColumn("_dx", F.explode(near))
+            .withColumn("_cx", row + F.col("_dx"))
+            .drop("_dx")
         )
         gridded = nodes.select(
             "node_id",
             F.col("lat").alias("_nlat"),
             F.col("lon").alias("_nlon"),
-            index("lat").alias("_cx"),
-            index("lon").alias("_cy"),
+            row.alias("_cx"),
+            wrapped(place).alias("_cy"),
         )
         distance = great_circle_m(F.col("lat"), F.col("lon"), F.col("_nlat"), F.col("_nlon"))
         best = (
@@ -359,9 +368,13 @@ def nearest_node(points: DataFrame, nodes: DataFrame, degrees: float = 0.01) ->
             .agg(F.min(F.struct(distance.alias("distance_m"), "node_id")).alias("_best"))
             .checkpoint()
         )
-        whole_globe = degrees >= 360
-        reach = F.lit(degrees * 110_000.0) * F.cos(F.radians(F.least(F.abs(F.col("lat")) + degrees, F.lit(89.9))))
-        sure = F.lit(True) if whole_globe else F.col("_best.distance_m") <= reach
+        # what lies outside is a cell away in latitude, or beyond a meridian that is a cell away
+        reach = F.lit(math.radians(degrees) * EARTH_M)
+        if turns > 3:
+            across = F.cos(F.radians(F.col("lat"))) * F.lit(math.sin(math.radians(min(degrees, 90.0))))
+            reach = F.least(reach, F.asin(across) * F.lit(EARTH_M))
+        reach = reach * F.lit(1 - _SLACK)
+        sure = F.lit(True) if whole_globe else F.col("_best.distance_m") < reach
         done = best.filter(sure).select("point_id", "_best.node_id", "_best.distance_m")
         settled = done if settled is None else settled.unionByName(done)
         waiting = waiting.join(done, "point_id", "left_anti").checkpoint()

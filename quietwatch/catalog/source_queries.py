@@ -288,6 +288,32 @@ def csv_cells(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "csv_files",
+    """SELECT 'wide' AS kind, count(*) AS rows, 0 AS malformed, sum(c_custkey) AS keys, sum(c_custkey + 599) AS others FROM customer
+    UNION ALL SELECT 'blank', count(*), 0, sum(c_custkey), sum(c_custkey + 1) FROM customer""",
+)
+def csv_files(spark, sf_dir):
+    """Customers as CSV files of 600 columns, and with a blank header cell, through the file reader."""
+    key = F.col("c_custkey")
+    result = None
+    for kind, names in (("wide", [f"k{i}" for i in range(600)]), ("blank", ["k0", "", "k2"])):
+        path = scratch_path(spark, f"csv-{kind}")
+        cells = [(key + i).cast("string").alias(f"k{i}") for i in range(len(names))]
+        table(spark, sf_dir, "customer").select(*cells).toDF(*names).write.option("header", "true").csv(path)
+        fields = F.try_variant_get("raw", "$", "map<string,string>")
+        cell = lambda name, fields=fields: F.try_element_at(fields, F.lit(name)).cast("bigint")
+        rows = readers.read_csv(spark, [path]).agg(
+            F.lit(kind).alias("kind"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count("parse_error").alias("malformed"),
+            F.sum(cell("k0")).alias("keys"),
+            F.sum(cell(names[-1] if kind == "wide" else "")).alias("others"),
+        )
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 @query(
     "vendor_mapping",
     """SELECT ignition, motion_state, alert, external_state, warning, decoded, count(*) AS events, max(speed) AS fastest_kph FROM (

@@ -1,8 +1,12 @@
 """Nearest nodes on the whole globe, requests with unknown ends and CSV headers of any width."""
 
+import json
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from quietwatch.operators import corridor
+from quietwatch.sources import readers
 
 
 def test_nearest_node_on_the_whole_globe(spark):
@@ -39,3 +43,15 @@ def test_requests_with_unknown_ends_are_infeasible(spark):
     status, cells = corridor.project_corridors(requests, nodes, edges)
     assert {r.request_id: r.status for r in status.collect()} == {1: "corridor", 2: "infeasible", 3: "infeasible", 4: "infeasible"}
     assert {r.request_id for r in cells.collect()} == {1}
+
+
+def test_csv_headers_of_any_width(spark, tmp_path):
+    names = [f"n{i}" for i in range(600)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(600))) + "\n1,2\n")
+    (tmp_path / "blank.csv").write_text('a,,"c,d",\n1,2,3,4\n5,6,,\n1,2,3\n')
+    rows = readers.read_csv(spark, [str(tmp_path / "wide.csv")]).select(F.to_json("raw").alias("j"), "parse_error").collect()
+    assert [r.parse_error for r in rows] == [None, "MALFORMED_CSV_ROW"]
+    assert json.loads(rows[0].j) == {n: str(i) for i, n in enumerate(names)}
+    rows = readers.read_csv(spark, [str(tmp_path / "blank.csv")]).select(F.to_json("raw").alias("j"), "parse_error").collect()
+    assert [r.parse_error for r in rows] == [None, None, "MALFORMED_CSV_ROW"]
+    assert [json.loads(r.j) for r in rows[:2]] == [{"a": "1", "": "4", "c,d": "3"}, {"a": "5", "": "6"}]

@@ -26,6 +26,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """Settings of this folder, and Arrow batches that end at a number of bytes, however long their texts are."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,7 +75,9 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    arrays = (columns[f.name] for f in schema)
+    arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 batch_of = _batch

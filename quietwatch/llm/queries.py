@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwatch.llm import byte_bpe, chat, exact_topk, jaccard, multiprobe, packing, quality, secrets, substrings, toxicity, vectors
+from quietwatch.llm import (
+    byte_bpe, chat, collocations, decontamination, exact_topk, jaccard, multiprobe, packing, prefix_trie, quality,
+    secrets, substrings, toxicity, vectors,
+)
 from quietwatch.llm.common import table
 
 
@@ -106,6 +109,29 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.shared_openings(sequences, every=100, most=6))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -117,5 +143,8 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_multiprobe": op9_multiprobe,
     "op10_substrings": op10_substrings,
+    "op11_collocations": op11_collocations,
+    "op12_decontamination": op12_decontamination,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {}

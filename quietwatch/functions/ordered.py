@@ -1,13 +1,16 @@
 """Ordered work per key that survives a hot key.
 
-A window over ``partitionBy(key)`` puts a whole key in one task.  Keys with more than ``hot_rows``
-rows are therefore cut into slices of time, the window runs over ``(key, slice)``, and only the
-value that crosses a slice border travels in a side table.
-
-Size of the side tables: a key is hot only above ``hot_rows`` rows, so ``N`` rows hold fewer than
-``N / hot_rows`` hot keys and ``3 N / hot_rows`` slices.  With the default of 500,000 rows a table
-of 10**12 rows gives at most 6 million slices of a few dozen bytes; that bound is what permits the
-broadcasts below.  Without hot keys none of the side tables is planned at all.
+A window over ``partitionBy(key)`` puts a whole key in one task.  The rows of keys with more than
+``hot_rows`` rows are therefore dealt out by ranges of ``(key, order)`` and cut into slices of equal
+count: a slice begins with each ``hot_rows``-th row of its range and with each new range.  So no slice
+holds more than ``hot_rows`` rows, whatever the instants are: an outlier does not widen a slice, and
+equal instants are cut by the next order column.  The window runs over ``(key, slice)``, and only the
+value that crosses a slice border travels in a side table, a segmented scan over the slices.
+
+Size of the side tables: ``N`` rows hold fewer than ``N / hot_rows`` hot keys and at most ``N / hot_rows``
+slices more than there are ranges and hot keys.  A side table is broadcast where that bound, known from
+a count, is at most ``MAX_SIDE_ROWS``, and joined by a shuffle beyond.  Without hot keys none of the
+side tables is planned at all.  NULL keys are one key like any other.
 """
 
 from __future__ import annotations
@@ -20,18 +23,25 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
 
+#: Rows, of some dozen bytes, up to which a side table is broadcast.
+MAX_SIDE_ROWS = 200_000
+
 SLICE = "_slice"
 _HOT = "_hot"
+_TIE = "_tie"
+#: Bits of ``monotonically_increasing_id`` that number the rows of one partition.
+_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows with a slice number, and whether any key needed slicing."""
+    """Rows with a slice number, whether any key needed slicing, and a bound on the number of slices."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
     has_hot: bool
+    slices: int = 0
 
     @property
     def window(self):
@@ -41,10 +51,22 @@ class Sliced:
         return self.rows.filter(_HOT)
 
     def with_rows(self, rows: DataFrame) -> Sliced:
-        return Sliced(rows, self.keys, self.order, self.has_hot)
+        return Sliced(rows, self.keys, self.order, self.has_hot, self.slices)
 
     def finished(self) -> DataFrame:
-        return self.rows.drop(SLICE, _HOT)
+        return self.rows.drop(SLICE, _HOT, _TIE)
+
+    def join_side(self, side: DataFrame, names: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+        """Left join with a side table of at most a row for each slice."""
+        return _join_side(self.rows if rows is None else rows, side, names, self.slices)
+
+
+def _join_side(rows: DataFrame, side: DataFrame, names: Sequence[str], bound: int) -> DataFrame:
+    """Left join on ``names`` in which NULL meets NULL; the side is broadcast if its bound allows."""
+    there = {n: f"_side_{n}" for n in names}
+    side = side.withColumnsRenamed(there)
+    on = [rows[n].eqNullSafe(side[there[n]]) for n in names]
+    return rows.join(F.broadcast(side) if bound <= MAX_SIDE_ROWS else side, on, "left").drop(*there.values())
 
 
 def slice_hot_keys(
@@ -54,41 +76,34 @@ def slice_hot_keys(
     order: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> Sliced:
-    """Number time slices so that no ``(key, slice)`` is much larger than ``hot_rows``.
+    """Number slices so that no ``(key, slice)`` of a hot key holds more than ``hot_rows`` rows.
 
-    ``order`` must start with ``time_ms``, so slices follow the row order.
+    ``order`` must start with ``time_ms``.  Slice numbers rise with the order.  Rows equal in the whole
+    order are told apart by a hash of all their columns, so a task that runs again cuts them alike.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(time_ms).alias("_lo"),
-            F.max(time_ms).alias("_hi"),
-        )
-        .filter(F.col("_n") > hot_rows)
-        .select(
-            *keys,
-            "_lo",
-            F.ceil(
-                (F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") * 2 / F.lit(hot_rows))
-            ).alias("_width"),
-        )
-    )
     keys, order = tuple(keys), tuple(order)
-    if hot.isEmpty():
+    if order[0] != time_ms:
+        raise ValueError("order must start with the time")
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    number, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if not number:
         return Sliced(df.withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, False)
-    rows = (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(_HOT, F.col("_lo").isNotNull())
-        .withColumn(
-            SLICE,
-            F.coalesce(F.floor((F.col(time_ms) - F.col("_lo")) / F.col("_width")), F.lit(0)).cast(
-                "bigint"
-            ),
-        )
-        .drop("_lo", "_width")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = _join_side(df, hot.select(*keys, F.lit(True).alias(_HOT)), keys, number)
+    cold = marked.filter(F.col(_HOT).isNull()).withColumns(
+        {_HOT: F.lit(False), _TIE: F.lit(0).cast("bigint"), SLICE: F.lit(0).cast("bigint")}
+    )
+    place = F.monotonically_increasing_id()
+    in_range = place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    dealt = marked.filter(_HOT).withColumn(_TIE, F.xxhash64(*df.columns))
+    dealt = (
+        dealt.repartitionByRange(*keys, *order, _TIE)
+        .sortWithinPartitions(*keys, *order, _TIE)
+        # the range above, the slice inside it below: numbers rise along each key
+        .withColumn(SLICE, place - in_range + F.floor(in_range / hot_rows))
     )
-    return Sliced(rows, keys, order, True)
+    slices = total // hot_rows + number + ranges
+    return Sliced(cold.unionByName(dealt), keys, (*order, _TIE), True, slices)
 
 
 def _neighbour(sliced: Sliced, value: Column, name: str, forward: bool) -> Sliced:
@@ -105,7 +120,7 @@ def _neighbour(sliced: Sliced, value: Column, name: str, forward: bool) -> Slice
             .select(*sliced.keys, SLICE, step("_edge").over(across).alias("_carry"))
         )
         rows = (
-            rows.join(F.broadcast(carry), [*sliced.keys, SLICE], "left")
+            sliced.join_side(carry, [*sliced.keys, SLICE], rows)
             .withColumn(name, F.coalesce(name, "_carry"))
             .drop("_carry")
         )
@@ -140,7 +155,7 @@ def with_running_max(sliced: Sliced, value: Column, name: str, include_self: boo
             .select(*sliced.keys, SLICE, F.max("_edge").over(across).alias("_carry"))
         )
         rows = (
-            rows.join(F.broadcast(carry), [*sliced.keys, SLICE], "left")
+            sliced.join_side(carry, [*sliced.keys, SLICE], rows)
             .withColumn(name, F.greatest(name, "_carry"))
             .drop("_carry")
         )
@@ -167,7 +182,7 @@ def with_last_seen(sliced: Sliced, value: Column, name: str) -> Sliced:
             )
         )
         rows = (
-            rows.join(F.broadcast(carry), [*sliced.keys, SLICE], "left")
+            sliced.join_side(carry, [*sliced.keys, SLICE], rows)
             .withColumn(name, F.coalesce(name, "_carry"))
             .drop("_carry")
         )
@@ -183,7 +198,7 @@ def with_all_true(sliced: Sliced, flag: Column, name: str) -> Sliced:
             sliced.hot_rows().groupBy(*sliced.keys).agg(F.bool_and(flag).alias("_carry"))
         )
         rows = (
-            rows.join(F.broadcast(carry), list(sliced.keys), "left")
+            sliced.join_side(carry, list(sliced.keys), rows)
             .withColumn(name, F.coalesce("_carry", name))
             .drop("_carry")
         )

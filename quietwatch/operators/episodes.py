@@ -197,8 +197,7 @@ def _with_stale_hits(sliced: Sliced, limit: int, gap: Column | None = None) -> D
     if sliced.has_hot:
         entries = _entry_states(sliced, limit).withColumn("_island", F.lit(0).cast("bigint"))
         islands = (
-            islands.drop("_entry")
-            .join(F.broadcast(entries), [*sliced.keys, SLICE, "_island"], "left")
+            sliced.join_side(entries, [*sliced.keys, SLICE, "_island"], islands.drop("_entry"))
             .withColumn("_entry", F.coalesce("_entry", F.lit(0)))
         )
     symbols = F.transform("_run", lambda r: r["_symbol"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quietwatch.catalog.views import POLICY, TELEMETRY_SQL, TENANT, epoch_ms, table, telemetry
 from quietwatch.functions.scalars import evaluate_once, great_circle_m, grid_cell, ms, utc_iso
@@ -723,30 +722,43 @@ def stream_deduplicated(spark, sf_dir):
     return spark.read.schema("source string").parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("observations"))
 
 
-@query("stream_deadlines")
+@query(
+    "stream_deadlines",
+    """SELECT 'dev_' || user_id AS device_ref, t AS start_ms, later AS end_ms, due AS deadline_ms FROM (
+      SELECT user_id, t, due, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS later FROM (
+        SELECT user_id, epoch_us(ts) // 1000 AS t, max(epoch_us(ts) // 1000 + CASE event_type WHEN 'error' THEN 10800000
+          WHEN 'view' THEN 43200000 ELSE 129600000 END) AS due FROM events GROUP BY ALL))
+    WHERE later > due OR (later IS NULL AND due < (SELECT max(epoch_us(ts) // 1000) FROM events))""",
+)
 def stream_deadlines(spark, sf_dir):
-    """Opened and recovered silences from the live monitor, per action."""
+    """Silences that hold after a stream of four files, each with reports of the whole month: nearly all are late."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    at = F.col("ts").cast("timestamp")
-    reports = (
-        _event_stream(spark, sf_dir)
-        .select(
-            F.concat(F.lit("dev_"), F.col("user_id").cast("string")).alias("device_ref"),
-            at.alias("at"),
-            epoch_ms("ts").alias("at_ms"),
-            (epoch_ms("ts") + 129_600_000).alias("deadline_ms"),
-        )
-        .withWatermark("at", "0 seconds")
+    patience = (
+        F.when(F.col("event_type") == "error", 10_800_000)
+        .when(F.col("event_type") == "view", 43_200_000)
+        .otherwise(129_600_000)
     )
-    out = scratch_path(spark, "stream-out")
-    _run_to_table(deadline.monitor_deadlines(reports), out)
-    schema = T.StructType.fromDDL(deadline.OUTPUT_SCHEMA)
-    return spark.read.schema(schema).parquet(out).groupBy("action").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("device_ref").alias("devices")
+    reports = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("dev_"), F.col("user_id").cast("string")).alias("device_ref"),
+        epoch_ms("ts").alias("at_ms"),
+        (epoch_ms("ts") + patience).alias("deadline_ms"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+    )
+    landed = scratch_path(spark, "stream-in")
+    part = F.pmod(F.xxhash64("device_ref", "at_ms"), F.lit(4)).alias("part")
+    reports.select("*", part).repartition(4, "part").write.partitionBy("part").parquet(landed)
+    stream = (
+        spark.readStream.schema(reports.schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(landed)
     )
+    out = scratch_path(spark, "stream-out")
+    _run_to_table(deadline.monitor_deadlines(deadline.on_clock(stream, "received_at"), keep_days=None), out)
+    return deadline.current_episodes(spark.read.schema(deadline.OUTPUT_SCHEMA).parquet(out))
 
 
 @query(

@@ -1,101 +1,208 @@
-"""Live deadline monitor: silence becomes an episode when its deadline passes."""
+"""Live deadline monitor: silence becomes an episode when its deadline passes, and late reports revise it.
+
+The clock of the monitor is receipt time: a deadline has passed when reports received later than it (and a delay) are
+there.  Only that clock carries the watermark.  The reports themselves have none, so Spark drops no report, however
+late it comes; it is laid into the device's history, and the episodes beside it are opened, closed anew or withdrawn.
+
+The output is a log of changes.  The last row of a device and start says what holds, see ``current_episodes``: the same
+relation, whatever the order in which the reports came, and the one that a batch over all reports gives.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quietwatch.functions.scalars import from_ms, ms
+from quietwatch.functions.scalars import ms
 from quietwatch.operators.policy import ReportingPolicy, deadline_ms, interval_for, motion_state
 
 OUTPUT_SCHEMA = (
-    "device_ref string, action string, start_ms bigint, end_ms bigint, deadline_ms bigint"
+    "device_ref string, seq bigint, action string, start_ms bigint, end_ms bigint, deadline_ms bigint"
+)
+_REPORT = "device_ref", "at_ms", "deadline_ms"
+_EDGE_SCHEMA = (
+    "last_ms bigint, deadline_ms bigint, is_open boolean, seq bigint, floor_ms bigint, floor_deadline_ms bigint"
 )
-_STATE_SCHEMA = "last_ms bigint, deadline_ms bigint, is_open boolean"
+DAY_MS = 86_400_000
+KEEP_DAYS = 30
+
+
+def on_clock(reports: DataFrame, clock: str | Column, delay: str = "0 seconds") -> DataFrame:
+    """Reports (``device_ref, at_ms, deadline_ms``) for the monitor, with ``clock`` as its only watermark.
+
+    The clock is watched on a branch of the stream that gives no row; the reports pass beside it.
+    """
+    clock = F.col(clock) if isinstance(clock, str) else clock
+    ticks = reports.withColumn("clock", clock).withWatermark("clock", delay).filter(F.col("clock").isNull())
+    rows = reports.withColumn("clock", F.lit(None).cast("timestamp"))
+    return ticks.select(*_REPORT, "clock").unionByName(rows.select(*_REPORT, "clock"))
 
 
 def reports_with_deadline(
     events: DataFrame, policy: ReportingPolicy, lag_p95_s: float = 0.0, delay: str = "0 seconds"
 ) -> DataFrame:
-    """The stream a monitor needs: device, report time and the deadline that report sets."""
+    """The stream a monitor needs: device, report time, the deadline that report sets, and the receipt clock."""
     chosen = policy.column()
     at = ms(F.coalesce("device_time", "received_at"))
-    return events.select(
+    reports = events.select(
         "device_ref",
-        from_ms(at).alias("at"),
         at.alias("at_ms"),
         deadline_ms(
             at, interval_for(chosen, motion_state()), chosen["grace_factor"], lag_p95_s
         ).alias("deadline_ms"),
-    ).withWatermark("at", delay)
+        "received_at",
+    )
+    return on_clock(reports, "received_at", delay)
+
+
+def _distinct(at: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reports in order; of those at one instant the latest deadline holds."""
+    order = np.lexsort((due, at))
+    at, due = at[order], due[order]
+    last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, bool)
+    return at[last], due[last]
+
+
+def _gaps(at: np.ndarray, due: np.ndarray) -> dict[int, tuple[int | None, int]]:
+    """Closed episodes by their start: end and deadline."""
+    missed = np.flatnonzero(at[1:] > due[:-1])
+    return {int(at[i]): (int(at[i + 1]), int(due[i])) for i in missed}
 
 
 class DeadlineMonitor(StatefulProcessor):
-    """One row of state per device: the last report, its deadline and whether an episode is open.
+    """History of a device by day, and its last report with a timer on its deadline.
 
-    A deadline is an event-time timer.  A report in time moves the timer; a report after the
-    deadline closes the open episode; a report older than the last one is passed on as late.
+    Reports are kept for ``keep_days`` before the clock, and the one before them.  A report older than that changes
+    nothing and leaves as ``too_late``, so it can be handled by a batch.  ``keep_days`` of None keeps all.
     """
 
+    def __init__(self, keep_days: int | None = KEEP_DAYS):
+        self.keep_days = keep_days
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("last", _STATE_SCHEMA)
+        self._edge = handle.getValueState("edge", _EDGE_SCHEMA)
+        self._days = handle.getMapState("days", "day bigint", "reports binary")
+
+    def _load(self, days: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(bytes(self._days.getValue((d,))[0]), np.int64).reshape(-1, 2) for d in days]
+        both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        return both[:, 0], both[:, 1]
+
+    def _store(self, at: np.ndarray, due: np.ndarray, days: np.ndarray) -> None:
+        of_day = at // DAY_MS
+        for day in days.tolist():
+            own = of_day == day
+            self._days.updateValue((day,), (np.column_stack([at[own], due[own]]).tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (device,) = key
-        pdf = pd.concat(list(rows)).sort_values("at_ms")
-        state = self._state.get() if self._state.exists() else None
-        last, deadline, is_open = state if state is not None else (None, None, False)
+        pdf = pd.concat(list(rows))
+        at, due = _distinct(pdf["at_ms"].to_numpy(np.int64), pdf["deadline_ms"].to_numpy(np.int64))
+        edge = self._edge.get() if self._edge.exists() else (None, None, False, 0, None, None)
+        last, deadline, is_open, seq, floor, floor_due = edge
         out = []
-        for at, due in zip(pdf["at_ms"].tolist(), pdf["deadline_ms"].tolist(), strict=True):
-            if last is not None and at < last:
-                out.append((device, "late_report", at, None, None))
-                continue
-            if last is not None and at > deadline:
-                # The watermark may not have reached a deadline that this report shows was missed.
-                if not is_open:
-                    out.append((device, "opened", last, None, deadline))
-                out.append((device, "recovered", last, at, deadline))
-            last, deadline, is_open = at, due, False
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if not is_open:
-            self._handle.registerTimer(deadline)
-        self._state.update((last, deadline, is_open))
+
+        def put(action, start, end=None, due_at=None):
+            nonlocal seq
+            seq += 1
+            out.append((device, seq, action, start, end, due_at))
+
+        stored = sorted(d for (d,) in self._days.keys())
+        clock = timerValues.getCurrentWatermarkInMs()
+        if self.keep_days is not None and last is not None and clock > 0:
+            horizon = clock // DAY_MS - self.keep_days
+            gone = [d for d in stored if d < horizon and d < last // DAY_MS]
+            if gone:
+                old_at, old_due = self._load(gone[-1:])
+                floor, floor_due = int(old_at[-1]), int(old_due[-1])
+                for d in gone:
+                    self._days.removeKey((d,))
+                stored = stored[len(gone) :]
+            if floor is not None:
+                early = at <= floor
+                for t in at[early].tolist():
+                    put("too_late", t)
+                at, due = at[~early], due[~early]
+        if len(at):
+            # the days the batch touches, and the nearest ones with reports before and after them
+            first_day, last_day = at[0] // DAY_MS, at[-1] // DAY_MS
+            near = [d for d in stored if first_day <= d <= last_day]
+            near = [d for d in stored if d < first_day][-1:] + near + [d for d in stored if d > last_day][:1]
+            old_at, old_due = self._load(near)
+            if floor is not None and (not near or near[0] == stored[0]):
+                old_at, old_due = np.append(floor, old_at), np.append(floor_due, old_due)
+            new_at, new_due = _distinct(np.append(old_at, at), np.append(old_due, due))
+            before, after = _gaps(old_at, old_due), _gaps(new_at, new_due)
+            newest, newest_due = last, deadline
+            if last is None or new_at[-1] >= last:
+                newest, newest_due = int(new_at[-1]), int(new_due[-1])
+            still = is_open and (newest, newest_due) == (last, deadline)
+            if is_open:
+                before[last] = (None, deadline)
+                if still:
+                    after[last] = (None, deadline)
+            for start in sorted(before.keys() | after.keys()):
+                if start not in after:
+                    put("withdrawn", start, None, before[start][1])
+                elif after[start] != before.get(start):
+                    put("recovered", start, *after[start])
+            kept = new_at != floor if floor is not None else np.ones(len(new_at), bool)
+            self._store(new_at[kept], new_due[kept], np.unique(at // DAY_MS))
+            if not still:
+                for timer in list(self._handle.listTimers()):
+                    self._handle.deleteTimer(timer)
+                self._handle.registerTimer(newest_due)
+            last, deadline, is_open = newest, newest_due, still
+        if last is not None:
+            self._edge.update((last, deadline, is_open, seq, floor, floor_due))
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (device,) = key
-        last, deadline, is_open = self._state.get()
+        last, deadline, is_open, seq, *floor = self._edge.get()
         if is_open or expiredTimerInfo.getExpiryTimeInMs() < deadline:
             return
-        self._state.update((last, deadline, True))
-        yield _frame([(device, "opened", last, None, deadline)])
+        self._edge.update((last, deadline, True, seq + 1, *floor))
+        yield _frame([(device, seq + 1, "opened", last, None, deadline)])
 
     def close(self) -> None:
         pass
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["device_ref", "action", "start_ms", "end_ms", "deadline_ms"])
-    return out.astype(
-        {"device_ref": "object", "action": "object", "start_ms": "Int64", "end_ms": "Int64", "deadline_ms": "Int64"}
-    )
+    names = ["device_ref", "seq", "action", "start_ms", "end_ms", "deadline_ms"]
+    kinds = dict.fromkeys(names, "Int64") | {"device_ref": "object", "action": "object"}
+    return pd.DataFrame(rows, columns=names).astype(kinds)
 
 
-def monitor_deadlines(reports: DataFrame) -> DataFrame:
-    """Opened, recovered and late-report rows of a stream from ``reports_with_deadline``.
+def monitor_deadlines(reports: DataFrame, keep_days: int | None = KEEP_DAYS) -> DataFrame:
+    """Change log of a stream from ``reports_with_deadline`` or ``on_clock``: ``opened`` when a deadline passes,
+    ``recovered`` when the next report is known (again, if a late report becomes it), ``withdrawn`` when a late report
+    shows that there was no such silence, ``too_late`` for a report before the kept history.
 
     The session must use the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``).
     """
     return reports.groupBy("device_ref").transformWithStateInPandas(
-        statefulProcessor=DeadlineMonitor(),
+        statefulProcessor=DeadlineMonitor(keep_days),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+def current_episodes(changes: DataFrame) -> DataFrame:
+    """What holds after a log of changes: one row for a silence, its end NULL while it lasts."""
+    newest = Window.partitionBy("device_ref", "start_ms").orderBy(F.desc("seq"))
+    return (
+        changes.filter(F.col("action") != "too_late")
+        .withColumn("_n", F.row_number().over(newest))
+        .filter((F.col("_n") == 1) & (F.col("action") != "withdrawn"))
+        .select("device_ref", "start_ms", "end_ms", "deadline_ms")
+    )

@@ -5,7 +5,7 @@ import re
 from __spark_entry__ import oracle_sql, queries
 
 ROWS_ONLY = {
-    "audit_sections", "corridor_roads", "payload_sample", "redaction_violations", "sla_report_rows", "stream_deadlines",
+    "audit_sections", "corridor_roads", "payload_sample", "redaction_violations", "sla_report_rows",
 }
 
 

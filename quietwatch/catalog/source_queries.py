@@ -14,6 +14,7 @@ from quietwatch.session import scratch_path
 from quietwatch.sources import ingest, readers, vendor, versions
 from quietwatch.streaming import deadline
 from quietwatch.streaming import ingest as stream_ingest
+from quietwatch.streaming.tables import read_table
 
 QUERIES = {}
 ORACLE = {}
@@ -722,6 +723,32 @@ def stream_deduplicated(spark, sf_dir):
     return spark.read.schema("source string").parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("observations"))
 
 
+@query(
+    "stream_import",
+    """SELECT 'observation' AS kind, identity_value AS label, 1 AS rows FROM first_lines
+    UNION ALL SELECT 'quarantine', code, 2 * count(*) FROM lines WHERE code IS NOT NULL GROUP BY code
+    UNION ALL SELECT 'receipt', 'fleet', 2 * count(*) FROM lines WHERE code IS NULL""",
+    IMPORT_SQL,
+)
+def stream_import(spark, sf_dir):
+    """The tables of a continuous import of files that come twice: each line is sent again in a later micro-batch."""
+    landed, base = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-tables")
+    lines = event_lines(spark, sf_dir).select(F.col("line").alias("value")).repartition(2)
+    for _ in range(2):
+        lines.write.mode("append").text(landed)
+    stream_ingest.stream_ndjson(spark, landed, RUN, base, f"{base}/checkpoint", files_per_batch=1).awaitTermination()
+    observations, quarantine, receipts = (read_table(spark, base, name) for name in stream_ingest.TABLES)
+
+    def counted(kind, rows, label):
+        return rows.groupBy(F.lit(kind).alias("kind"), label.alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+
+    return (
+        counted("observation", observations, F.col("event_identity.value"))
+        .unionByName(counted("quarantine", quarantine, F.col("code")))
+        .unionByName(counted("receipt", receipts.filter("row_number IS NOT NULL"), F.col("source")))
+    )
+
+
 @query(
     "stream_deadlines",
     """SELECT 'dev_' || user_id AS device_ref, t AS start_ms, later AS end_ms, due AS deadline_ms FROM (

@@ -14,7 +14,7 @@ from quietwatch.operators.lifecycle import (
     current_versions,
     late_data_verdicts,
 )
-from quietwatch.streaming.ingest import _put, read_table
+from quietwatch.streaming.tables import buckets_of, put_keyed, read_keyed, read_table
 
 
 def revise_epoch(
@@ -28,19 +28,17 @@ def revise_epoch(
 ) -> None:
     """Judge the episodes a micro-batch of late reports touches, on all reports seen so far.
 
-    Every epoch owns a partition of the report and version tables and reads only earlier epochs, so
-    a repeated epoch writes the same rows again.
+    Versions and late reports lie in hash buckets of their episode; only the buckets of this batch are
+    read.  Every epoch owns a partition and reads only earlier epochs, so a repeated epoch writes the
+    same rows again.
     """
     spark = batch.sparkSession
     incoming = batch.select("episode_id", "at", "valid").persist()
     try:
-        versions = read_table(spark, base, "versions").filter(F.col("epoch") < epoch)
-        past = read_table(spark, base, "late_reports")
-        reports = incoming
-        if past is not None:
-            reports = reports.unionByName(
-                past.filter(F.col("epoch") < epoch).select("episode_id", "at", "valid")
-            )
+        buckets = buckets_of(incoming, "episode_id")
+        versions = read_keyed(spark, base, "versions", buckets, epoch)
+        past = read_keyed(spark, base, "late_reports", buckets, epoch)
+        reports = incoming if past is None else incoming.unionByName(past.select(*incoming.columns))
         touched = incoming.select("episode_id").distinct()
         current = current_versions(versions.join(touched, "episode_id", "left_semi"))
         actions = read_table(spark, base, "actions")
@@ -53,8 +51,8 @@ def revise_epoch(
             current, verdicts, actions, F.lit(at).cast("timestamp"), F.lit(now).cast("timestamp")
         )
         applied = revised.filter(F.col("status") == "applied").select(*VERSION_COLUMNS)
-        _put(applied, base, "versions", epoch)
-        _put(incoming, base, "late_reports", epoch)
+        put_keyed(applied, base, "versions", "episode_id", epoch)
+        put_keyed(incoming, base, "late_reports", "episode_id", epoch)
     finally:
         incoming.unpersist()
 
@@ -81,4 +79,4 @@ def stream_late_reports(
 
 def store_versions(spark: SparkSession, versions: DataFrame, base: str) -> None:
     """Write the opening versions before the stream starts."""
-    _put(versions.select(*VERSION_COLUMNS), base, "versions", -1)
+    put_keyed(versions.select(*VERSION_COLUMNS), base, "versions", "episode_id", -1)

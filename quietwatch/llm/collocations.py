@@ -395,8 +395,8 @@ def mine(
         scored.join(inside, ["lang", "phrase"], "left")
         .filter(own)
         .select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score")
-        .withColumn("rank", F.row_number().over(best).cast("long"))
+        .withColumn("rank", F.row_number().over(best))  # each task hands on its own best alone
         .filter(F.col("rank") <= options.top)
         .join(totals, "lang")
-        .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
     )

@@ -57,7 +57,7 @@ class MiningOptions:
     covered: int = 80
     scale: int = 2_000_000
     top: int = 2000
-    buffer_bytes: int = 4_000_000
+    buffer_bytes: int = 3_000_000
     bucket_rows: int = 2_000_000
     filter_bytes: int = 1 << 25
 
@@ -71,11 +71,16 @@ def _bytes_values() -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 
 
-@lru_cache(2)
+#: Powers in use by this worker, as many as its longest buffer needed.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(of: int, size: int) -> np.ndarray:
-    out = np.full(size, of, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    if len(_POWERS.get(of, ())) < size:
+        out = np.full(-(-size // (1 << 18)) << 18, of, np.uint64)
+        out[0] = 1
+        _POWERS[of] = np.cumprod(out, dtype=np.uint64, out=out)
+    return _POWERS[of]
 
 
 class Buffer:
@@ -96,10 +101,10 @@ class Buffer:
         self.joined = np.zeros(len(self.starts), bool)
         if len(self.starts) > 1:
             self.joined[:-1] = stops[self.ends[:-1] - 1] == stops[self.starts[1:] - 1]
-        size = 1 << max(16, len(raw).bit_length())
-        up, down = _powers(BASE, size), _powers(INVERSE, size)
+        up, down = _powers(BASE, len(raw) + 1), _powers(INVERSE, len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_bytes_values()[raw] * down[: len(raw)], out=sums[1:])
+        np.multiply(_bytes_values()[raw], down[: len(raw)], out=sums[1:])
+        np.cumsum(sums, out=sums)
         words = (sums[self.ends] - sums[self.starts]) * up[self.starts]
         self.words = mixed(words + (self.ends - self.starts).astype(np.uint64) * np.uint64(INVERSE))
         self.sums = np.zeros(len(words) + 1, np.uint64)

@@ -176,7 +176,8 @@ def score_quality(
 ) -> DataFrame:
     """All rows with ``<out>_score`` and ``<out>_predicted`` appended, from the whole text.
 
-    A null or empty text scores by the bias alone.
+    A null or empty text scores by the bias alone; equal rows each have their score; an input column with one of the
+    two names is replaced.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ from quietwatch.llm import (
     byte_bpe, chat, collocations, decontamination, exact_topk, jaccard, multiprobe, packing, prefix_trie, quality,
     secrets, substrings, toxicity, vectors,
 )
-from quietwatch.llm.common import table
+from quietwatch.llm.common import table, written
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,25 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int) -> DataFrame:
-    marks = labels.select("doc_id", F.col(label).alias("label"))
-    kept = toxicity.remainder("doc_id", divisor) != left_out
-    return docs.select("doc_id", "text").filter(kept).join(marks.filter(kept), "doc_id")
+#: Labelled ids looked up for a fit, of each class: more than any fit uses, so copies and missing texts leave enough.
+DRAWN_PER_CLASS = 24_000
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, seed: int) -> DataFrame:
+    """Texts of a bounded draw of labelled ids, by a hash of the id: the labels alone decide, no text is shuffled."""
+    marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
+        (toxicity.remainder("doc_id", divisor) != left_out) & F.col("doc_id").isNotNull()
+    )
+    order = [F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), "doc_id"]
+    drawn = [marks.filter(F.col("label") == v).orderBy(*order).limit(DRAWN_PER_CLASS) for v in (0, 1)]
+    # at most 2 * DRAWN_PER_CLASS rows of two numbers
+    chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
+    return written(docs.select("doc_id", "text").join(chosen, "doc_id"), f"labelled-{label}")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(_labelled(docs, table(spark, sf_dir, "labels"), "quality", 5, 0), "doc_id", "text", "label")
+    model = quality.fit(_labelled(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, seed=11), "doc_id", "text", "label")
     return quality.score_quality(docs.select("doc_id", "text"), model).select(
         "doc_id",
         (toxicity.remainder("doc_id", 5) == 0).alias("held_out"),
@@ -53,7 +63,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
     return toxicity.fit(
-        _labelled(docs, labels, "toxic", 4, 2), "doc_id", "text", "label", toxicity.ToxicityOptions()
+        _labelled(docs, labels, "toxic", 4, 2, seed=7), "doc_id", "text", "label", toxicity.ToxicityOptions()
     )
 
 

@@ -119,7 +119,13 @@ class Lexicon:
                     excused.append((start, end))
                 elif start not in hits or hits[start][1] < weight:
                     hits[start] = (end, weight)
-        total = sum(w for s, (e, w) in hits.items() if not any(a <= s < b for a, b in excused))
+        total, reach, following = 0.0, -1, iter(sorted(excused))
+        phrase = next(following, None)
+        for start in sorted(hits):  # one merge of words and phrases, both by their start
+            while phrase and phrase[0] <= start:
+                reach, phrase = max(reach, phrase[1]), next(following, None)
+            if start >= reach:
+                total += hits[start][1]
         return total / (1.0 + 0.1 * math.log1p(len(folded) / 1000.0))
 
     def score(self, text: str | None) -> float:
@@ -153,7 +159,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, options
     chosen = drawn[0].unionByName(drawn[1]).select("id", "h")
     # at most 2 * sample_per_class rows of two numbers
     sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"], "left_semi")
-    sample = sample.dropDuplicates(["h"]).select("text", "label").persist()
+    sample = sample.dropDuplicates(["h"]).select("text", "label")
     lengths = options.stem_lengths
 
     def count(batch):
@@ -191,7 +197,6 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, options
         lambda b: {"x": [math.log1p(lexicon.evidence(t)) for t in b["text"]], "y": b["label"]},
         "x double, y int",
     ).collect()
-    sample.unpersist()
     if n_toxic and n_clean:
         lexicon.slope, lexicon.intercept = _calibrate(np.array([(r["x"], r["y"]) for r in pairs]))
     return lexicon
@@ -215,7 +220,8 @@ def score_toxicity(
 ) -> DataFrame:
     """All rows with ``<out>_score`` and ``<out>_predicted`` appended.
 
-    The whole text is scanned.  A null or empty text scores like a text without toxic words.
+    The whole text is scanned, in time that grows with its length.  A null or empty text scores like a text without
+    toxic words; equal rows each have their score; an input column with one of the two names is replaced.
     """
     score = _score_udf(lexicon)(F.col(text_col))
     scored = docs.withColumn(f"{out}_score", score)

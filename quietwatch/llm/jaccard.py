@@ -244,9 +244,15 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """Members of regions that still hold two classes, with the size of the region."""
-    sizes = members.groupBy("seed").agg(F.count("*").alias("size")).filter("size > 1")
-    return checkpointed(members.join(sizes, "seed"))
+    """Members of regions that still hold two classes, with the size of the region.
+
+    Seeds that stand in the same texts make the same region; one of them stands for all.  Equal regions are known by
+    their size and two hashes of 64 bits of their classes.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "class")).alias(f"mark{k}") for k in (1, 2)]
+    sizes = members.groupBy("seed").agg(F.count("*").alias("size"), *marks).filter("size > 1")
+    regions = sizes.groupBy("size", "mark1", "mark2").agg(F.min("seed").alias("seed")).select("seed", "size")
+    return checkpointed(members.join(regions, "seed"))
 
 
 def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFrame, DataFrame]:

@@ -141,6 +141,33 @@ def assignment_as_of_merge(spark, sf_dir):
     return _record(_resolved(spark, sf_dir, max_broadcast=0))
 
 
+@query(
+    "assignment_as_of_unknown",
+    """SELECT record_id, count(*) AS shipments FROM (
+      SELECT CASE WHEN l_partkey % 5 = 0 OR l_suppkey % 7 = 0 THEN NULL ELSE (SELECT arg_max(a.record_id, a.s::HUGEINT * 100000000 + a.record_id)
+        FROM assign a WHERE a.device_ref = p.device_ref AND a.record_id % 11 <> 0 AND a.record_id % 13 <> 0 AND a.s <= p.at
+          AND (a.e IS NULL OR p.at < a.e)) END AS record_id
+      FROM probe p) GROUP BY record_id""",
+    ASSIGN_SQL,
+)
+def assignment_as_of_unknown(spark, sf_dir):
+    """As-of with unknown devices and instants on both sides: such probe rows stay and resolve to nothing."""
+    part, record = F.col("l_partkey"), F.col("record_id")
+    probe = shipments(spark, sf_dir).withColumns(
+        {
+            "device_ref": F.when(part % 5 != 0, F.col("device_ref")),
+            "at": F.when(F.col("l_suppkey") % 7 != 0, F.col("at")),
+        }
+    )
+    records = assignments(spark, sf_dir).withColumns(
+        {
+            "device_ref": F.when(record % 11 != 0, F.col("device_ref")),
+            "valid_from": F.when(record % 13 != 0, F.col("valid_from")),
+        }
+    )
+    return _record(temporal.resolve_at(probe, records, ["device_ref"], "at", ["record_id"], "record_id"))
+
+
 @query(
     "assignment_coverage",
     """SELECT count(*) AS observations, avg((record_id IS NOT NULL)::INT::DOUBLE) AS coverage,

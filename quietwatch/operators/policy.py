@@ -107,52 +107,31 @@ def suppression_windows(spark: SparkSession, windows: list[tuple]) -> DataFrame:
     )
 
 
-# Windows are matched per row without a join key, so their number must stay small.
-MAX_BROADCAST_WINDOWS = 10_000
+# Lists of up to this many windows are broadcast, flattened to disjoint segments.
+MAX_BROADCAST_WINDOWS = 100_000
 
 
 def suppressed_by(rows: DataFrame, at: str, windows: DataFrame, name: str) -> DataFrame:
     """Reason of the first window (list order) that contains the instant; NULL when none does.
 
-    The windows travel as one array inside a one-row broadcast, after a check of their number; a
-    larger list goes through the day-bucketed equi-join instead.
+    The windows are flattened to disjoint segments, so a row searches its instant among them, whatever
+    their number.  Segments of a checked number travel in a one-row broadcast; more are merged with the
+    rows in time order.
     """
-    if windows.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
-        packed = windows.agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "ord",
-                        ms("from_at").alias("from_ms"),
-                        ms("to_at").alias("to_ms"),
-                        "reason",
-                    )
-                )
-            ).alias("_windows")
-        )
-        at_ms = ms(at)
-        hits = F.filter(
-            "_windows", lambda w: (at_ms >= w["from_ms"]) & (at_ms < w["to_ms"])
-        )
-        return (
-            rows.join(F.broadcast(packed))
-            .withColumn(name, F.get(hits, F.lit(0))["reason"])
-            .drop("_windows")
-        )
-    day = 86_400_000
-    first_day, last_day = F.floor(ms("from_at") / day), F.floor((ms("to_at") - 1) / day)
-    pieces = windows.filter(F.col("to_at") > F.col("from_at")).withColumn(
-        "_day", F.explode(F.sequence(first_day, last_day))
+    from quietwatch.operators import segments, temporal
+
+    listed = windows.filter(F.col("from_at") < F.col("to_at")).select(
+        F.lit(0).alias("_all_rows"),
+        ms("from_at").alias(segments.START),
+        ms("to_at").alias(segments.END),
+        (-F.col("ord").cast("bigint")).alias(segments.RANK),
+        F.col("ord").alias(segments.ORDER),
+        F.struct(F.col("reason")).alias(segments.VALUE),
     )
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_day", F.floor(ms(at) / day)
-    )
-    found = (
-        keyed.select("_day", F.col(at).alias("_at"))
-        .distinct()
-        .join(pieces, "_day")
-        .filter((F.col("_at") >= F.col("from_at")) & (F.col("_at") < F.col("to_at")))
-        .groupBy("_at")
-        .agg(F.min_by("reason", "ord").alias(name))
-    )
-    return keyed.join(found, F.col(at) == F.col("_at"), "left").drop("_row", "_day", "_at")
+    flat = segments.disjoint(listed, ["_all_rows"])
+    keyed = rows.withColumn("_all_rows", F.lit(0))
+    if windows.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS:
+        found = temporal.look_up(keyed, flat, ["_all_rows"], ms(at), "_window_found")
+    else:
+        found = temporal.merge_up(keyed, flat, ["_all_rows"], ms(at), "_window_found")
+    return found.withColumn(name, F.col("_window_found.reason")).drop("_all_rows", "_window_found")

@@ -10,14 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietwatch.functions.ordered import (
-    HOT_ROWS,
-    slice_hot_keys,
-    with_last_seen,
-    with_previous,
-    with_running_max,
-)
+from quietwatch.functions.ordered import HOT_ROWS, slice_hot_keys, with_last_seen, with_previous
 from quietwatch.functions.scalars import ms
+from quietwatch.operators import segments
 
 # Open end as milliseconds, beyond any timestamp Spark can hold in milliseconds.
 OPEN_END_MS = 2**62
@@ -59,112 +54,74 @@ def resolve_at(
     On overlap the latest ``valid_from`` wins, then the highest ``record_id``; no record gives NULL.
     A probe row with a NULL key or a NULL instant is kept and resolves to NULL, whatever the size of
     the history.
-    A history of checked size is broadcast and the probe does not move.  A larger history is merged
-    with the probe in time order, one shuffle and no pairing of probe rows with records.
+    The history is flattened to disjoint segments first.  If it is of checked size it is broadcast,
+    each probe row searches the segments of its key, and the probe does not move.  A larger history is
+    merged with the probe in time order: one shuffle, and the last segment seen is the answer.
     """
     start, end = _bounds(from_col, to_col)
-    payload = F.struct(*values)
     sound = (
         well_formed(records, from_col, to_col)
         .filter(F.col(from_col).isNotNull())
         .dropna(subset=list(keys))
         .select(
             *keys,
-            start.alias("_start"),
-            end.alias("_end"),
-            F.col(record_id).alias("_id"),
-            payload.alias("_value"),
+            start.alias(segments.START),
+            end.alias(segments.END),
+            F.col(record_id).alias(segments.ORDER),
+            F.struct(*values).alias(segments.VALUE),
         )
     )
-    if _is_small(records, max_broadcast):
-        return _resolve_by_broadcast(probe, sound, keys, at)
+    small = _is_small(sound, max_broadcast)
+    flat = segments.disjoint(sound, keys, hot_rows)
+    if small:
+        return look_up(probe, flat, keys, ms(at), "resolved")
     known = F.col(at).isNotNull()
     for key in keys:
         known = known & F.col(key).isNotNull()
-    merged = _resolve_by_merge(probe.filter(known), sound, keys, at, hot_rows)
-    value_type = sound.schema["_value"].dataType
+    merged = merge_up(probe.filter(known), flat, keys, ms(at), "resolved", hot_rows)
+    value_type = sound.schema[segments.VALUE].dataType
     aside = probe.filter(~known).withColumn("resolved", F.lit(None).cast(value_type))
     return merged.unionByName(aside)
 
 
-def _resolve_by_broadcast(
-    probe: DataFrame, sound: DataFrame, keys: Sequence[str], at: str
-) -> DataFrame:
-    history = sound.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_start", "_id", "_end", "_value")), asc=False).alias(
-            "_history"
-        )
-    )
-    t = ms(at)
-    in_force = F.filter("_history", lambda r: (r["_start"] <= t) & (t < r["_end"]))
+def look_up(probe: DataFrame, flat: DataFrame, keys: Sequence[str], t: Column, name: str) -> DataFrame:
+    """The segment value at ``t`` by a search in the broadcast segments; their size must be checked."""
+    firsts, blocks = segments.searchable(flat, keys)
     return (
-        probe.join(F.broadcast(history), list(keys), "left")
-        .withColumn("resolved", F.get(in_force, F.lit(0))["_value"])
-        .drop("_history")
+        probe.join(F.broadcast(firsts), list(keys), "left")
+        .withColumn("_block", segments.block_at(t))
+        .drop("_firsts")
+        .join(F.broadcast(blocks), [*keys, "_block"], "left")
+        .withColumn(name, segments.found_at(t))
+        .select(*probe.columns, name)
     )
 
 
-def _resolve_by_merge(
-    probe: DataFrame, sound: DataFrame, keys: Sequence[str], at: str, hot_rows: int
+def merge_up(
+    probe: DataFrame, flat: DataFrame, keys: Sequence[str], t: Column, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    value_type = sound.schema["_value"].dataType
+    """The segment value at ``t`` by one merge of probe rows and segments in time order."""
     rows = probe.select(
         *keys,
-        ms(at).alias("_t"),
+        t.alias("_t"),
         F.lit(1).alias("_side"),
         F.struct(*[F.col(c) for c in probe.columns if c not in keys]).alias("_row"),
-        F.lit(None).cast(sound.schema["_id"].dataType).alias("_id"),
-        F.lit(None).cast("bigint").alias("_end"),
-        F.lit(None).cast(value_type).alias("_value"),
+        F.lit(None).cast("bigint").alias(segments.TO),
+        F.lit(None).cast(flat.schema[segments.VALUE].dataType).alias(segments.VALUE),
     )
-    starts = sound.select(
+    starts = flat.select(
         *keys,
-        F.col("_start").alias("_t"),
+        F.col(segments.FROM).alias("_t"),
         F.lit(0).alias("_side"),
         F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
-        "_id",
-        "_end",
-        "_value",
-    )
-    sliced = slice_hot_keys(
-        starts.unionByName(rows), keys, "_t", ["_t", "_side", "_id"], hot_rows
-    )
-    record = F.when(F.col("_side") == 0, F.struct("_end", "_value"))
-    sliced = with_last_seen(sliced, record, "_latest")
-    sliced = with_running_max(sliced, F.col("_end"), "_reach", include_self=True)
-    merged = sliced.finished().filter(F.col("_side") == 1)
-
-    # The latest start is in force, or nothing that started earlier reaches this far, or (only where
-    # records overlap) an earlier, longer record is in force again.
-    settled = merged.withColumn(
-        "resolved", F.when(F.col("_t") < F.col("_latest._end"), F.col("_latest._value"))
-    ).withColumn(
-        "_contested", F.col("resolved").isNull() & (F.col("_t") < F.coalesce("_reach", F.lit(0)))
-    )
-    columns = [*keys, "_row.*", "resolved"]
-    plain = settled.filter(~F.col("_contested")).select(*columns)
-    again = _resolve_contested(
-        settled.filter("_contested").select(*keys, "_t", "_row"), sound, keys
-    ).select(*columns)
-    return plain.unionByName(again)
-
-
-def _resolve_contested(contested: DataFrame, sound: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Month-bucketed join for instants that only an earlier, longer record covers."""
-    instants = contested.select(*keys, "_t").distinct()
-    horizon = instants.agg(F.max("_t").alias("_horizon"))
-    last = F.greatest(F.col("_start"), F.least(F.col("_end") - 1, F.col("_horizon")))
-    pieces = sound.join(F.broadcast(horizon)).withColumn(
-        "_month", F.explode(F.sequence(F.floor(F.col("_start") / MONTH_MS), F.floor(last / MONTH_MS)))
-    )
-    found = (
-        instants.withColumn("_month", F.floor(F.col("_t") / MONTH_MS))
-        .join(pieces, [*keys, "_month"])
-        .filter((F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_end")))
-        .groupBy(*keys, "_t")
-        .agg(F.max_by("_value", F.struct("_start", "_id")).alias("resolved"))
+        segments.TO,
+        segments.VALUE,
     )
-    return contested.join(found, [*keys, "_t"], "left")
+    sliced = slice_hot_keys(starts.unionByName(rows), keys, "_t", ["_t", "_side"], hot_rows)
+    segment = F.when(F.col("_side") == 0, F.struct(segments.TO, segments.VALUE))
+    found = with_last_seen(sliced, segment, "_latest").finished().filter(F.col("_side") == 1)
+    value = F.when(F.col("_t") < F.col(f"_latest.{segments.TO}"), F.col(f"_latest.{segments.VALUE}"))
+    return found.select(*keys, "_row.*", value.alias(name)).select(*probe.columns, name)
 
 
 def resolve_device(

@@ -338,8 +338,8 @@ def expected_next_report(spark, sf_dir):
     )
 
 
-# The instant the open-gap queries look from: three days before the end of the supplied month.
-_NOW_MS = 1_706_400_000_000
+# The instant the open-gap queries look from: noon after the supplied month, when some devices are overdue.
+_NOW_MS = 1_706_788_800_000
 
 
 @query(

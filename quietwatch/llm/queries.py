@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietwatch.llm import (
-    byte_bpe, chat, collocations, decontamination, exact_topk, jaccard, multiprobe, packing, prefix_trie, quality,
-    secrets, substrings, toxicity, vectors,
+    byte_bpe, chat, collocations, decontamination, exact_topk, jaccard, multiprobe, oracles, packing, prefix_trie,
+    quality, secrets, substrings, toxicity, vectors,
 )
 from quietwatch.llm.common import table, written
 
@@ -157,4 +157,4 @@ QUERIES = {
     "op12_decontamination": op12_decontamination,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietwatch.llm import jaccard, packing, secrets, substrings, toxicity
-from quietwatch.llm.common import prepare, table, written
+from quietwatch.llm.common import bounded_batches, table, written
 from quietwatch.llm.queries import toxic_lexicon
 
 
@@ -31,7 +31,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go; all others stay as they are."""
-    prepare(spark)
+    bounded_batches(spark)
     lexicon = toxic_lexicon(docs, table(spark, sf_dir, "labels"))
     out = _unused(docs, "toxicity")
     scored = toxicity.score_toxicity(docs, lexicon, "text", toxicity.ToxicityOptions().threshold, out)
@@ -40,25 +40,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    prepare(spark)
+    bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows leave the texts; a document that loses all of them stays with an empty text."""
-    prepare(spark)
+    bounded_batches(spark)
     return _measured(substrings.dedup_substrings(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret in a text becomes a mark; all documents stay."""
-    prepare(spark)
+    bounded_batches(spark)
     return _measured(docs.withColumn("text", secrets.redacted("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    prepare(spark)
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -48,6 +48,11 @@ def safe_parts(text: str, size: int = SPLIT_CHARS):
     yield text[at:]
 
 
+def _white(letter: str) -> bool:
+    r"""White space as the library's ``\s`` has it: unlike Python's it leaves out U+001C to U+001F."""
+    return letter.isspace() and letter not in "\x1c\x1d\x1e\x1f"
+
+
 def encode(enc: tiktoken.Encoding, text: str, size: int = SPLIT_CHARS) -> list[int]:
     """Ids of a text, the same as the library gives for the whole of it."""
     if len(text) <= min(size, LONG_BLANK):
@@ -58,7 +63,7 @@ def encode(enc: tiktoken.Encoding, text: str, size: int = SPLIT_CHARS) -> list[i
         # the run before a word is one match but for its last character; at the end of the text it is one match
         stop = blank.end() if blank.end() == len(text) else blank.end() - 1
         start = blank.start()
-        while start and text[start - 1].isspace() and start > at:
+        while start > at and _white(text[start - 1]):
             start -= 1
         if stop < len(text) and (text[stop + 1].isspace() or text[stop + 1] in "\x1c\x1d\x1e\x1f"):
             continue  # other white space follows: leave it to the library

@@ -24,6 +24,8 @@ MORE_RULES = (
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 24),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0),
+    # the lines of a key up to its end, where there is one
+    ("key_block", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x0A\x0D]*-----END ([A-Z]+ )*PRIVATE KEY-----", 0),
 )
 RULES = BASE_RULES + MORE_RULES
 

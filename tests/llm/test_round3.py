@@ -241,3 +241,73 @@ def test_trie_of_few_rows(spark):
     turns = spark.createDataFrame([(*r, 1, "i") for r in one], TURNS)
     got = prefix_trie.prefix_trie(prefix_trie.shared_openings(prefix_trie.turn_sequences(turns), 100, 6))
     assert trie_rows(got) == trie_by_hand(rebuilt_by_hand(one))
+
+
+# earlier operators
+
+
+def test_white_space_of_the_library():
+    """U+001C to U+001F end a run of white space in the library, though Python counts them to it."""
+    import public_tokenizers
+
+    from quietwatch.llm import byte_bpe
+
+    enc = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(8)
+    pieces = [" " * 2500, "\x85", "\x1c", "\x1d", "\u00a0", " " * 2100, "a", "\n", "\t " * 1200]
+    texts = [" " * 2500 + "\x85\x1c" + " " * 2500] + ["".join(pieces[k] for k in rng.integers(0, 9, 6)) for _ in range(60)]
+    for text in texts:
+        assert byte_bpe.encode(enc, text) == enc.encode_ordinary(text)
+
+
+def test_whole_private_keys_are_hidden(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIBOgIBAAJB\nAKj34Gkx+/=\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {key} b {key}"), (2, "-----BEGIN PRIVATE KEY-----\nMIIB no end"), (3, "-----END PRIVATE KEY-----")]
+    from quietwatch.llm import secrets
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hidden = {r.doc_id: r.text for r in docs.withColumn("text", secrets.redacted("text")).collect()}
+    assert "MIIB" not in hidden[1] and "END" not in hidden[1] and hidden[1].startswith("a ")
+    assert "BEGIN" not in hidden[2] and "no end" in hidden[2]
+    assert hidden[3] == rows[2][1]
+
+
+def test_exception_phrases_in_a_long_text():
+    from quietwatch.llm import toxicity
+
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "trash": 2.0})
+    by_hand = lexicon.evidence("trash can idiot ")
+    assert by_hand > 0
+    long = lexicon.evidence("trash can idiot " * 40_000)  # linear: a quadratic merge would take minutes
+    assert long > by_hand
+
+
+def test_learner_against_plain_follow_the_leader():
+    """The sparse updates against the same rule written over dense vectors."""
+    from quietwatch.llm import quality
+
+    options = quality.QualityOptions(bits=6, epochs=3)
+    rng = np.random.default_rng(2)
+    words = ["good", "bad", "the", "of", "x1", "!!", "Zed"]
+    rows = [(" ".join(words[k] for k in rng.integers(0, 7, 9)), int(i % 2)) for i in range(30)] + [(None, 1), ("", 0)]
+    got, bias = quality.follow_leader(rows, options)
+    size = (1 << options.bits) + 1
+    z, n = np.zeros(size), np.zeros(size)
+    l1 = np.append(np.full(size - 1, options.l1), 0.0)
+
+    def leader():
+        w = -(z - np.sign(z) * l1) / ((options.beta + np.sqrt(n)) / options.alpha + options.l2)
+        return np.where(np.abs(z) <= l1, 0.0, w)
+
+    for _ in range(options.epochs):
+        for text, label in rows:
+            x = np.zeros(size)
+            index, values = quality.vector(text, options.bits)
+            x[index] = values
+            x[-1] = 1.0
+            w = leader()
+            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
+            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / options.alpha
+            z += g - sigma * w
+            n += g * g
+    assert np.allclose(np.append(got, bias), leader())

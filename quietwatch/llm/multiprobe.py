@@ -21,15 +21,20 @@ from quietwatch.llm.common import checkpointed, map_batches
 
 @dataclass(frozen=True)
 class HashOptions:
-    """The cell width is ``width`` times the spread of the projections, measured on ``sample`` vectors."""
+    """The cell width is ``width`` times the spread of the projections, measured on ``sample`` vectors.
+
+    Without ``projections`` their number is half the binary logarithm of the number of vectors, at least ``fewest``, and
+    without ``probes`` a table is probed 50 * 1.5 ** projections times: buckets become finer as the table grows and a
+    query looks at a falling share of all vectors, by one rule at every size.
+    """
 
     tables: int = 3
-    projections: int = 6
+    projections: int | None = None
+    fewest: int = 4
     width: float = 1.5
-    probes: int = 400
+    probes: int | None = None
     first_probes: int = 40
     reach: int = 3
-    candidates: int = 4_000
     sample: int = 2_048
     seed: int = 17
 
@@ -69,9 +74,8 @@ def search(rows: DataFrame, is_query, k: int, options: HashOptions = HashOptions
     """``query_id, rank, vec_id, score``: up to ``k`` vectors with the largest inner product among the candidates.
 
     ``rows`` has ``vec_id`` and ``vector`` as ``vectors.usable`` gives them; zero vectors must be gone.  Every vector
-    is indexed.  Buckets of any size are searched whole.  A query whose buckets hold fewer than ``candidates``
-    entries in all tables together, or fewer than ``k`` other vectors, is compared with all vectors.  Hashing uses
-    unit vectors, scores the original ones.
+    is indexed.  Buckets of any size are searched whole.  A query whose buckets hold fewer than ``k`` other vectors is
+    compared with all vectors, so it gets its full number.  Hashing uses unit vectors, scores the original ones.
     """
     base = checkpointed(rows)
     spark = base.sparkSession
@@ -81,10 +85,12 @@ def search(rows: DataFrame, is_query, k: int, options: HashOptions = HashOptions
     drawn = base.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(options.sample).select("vector").collect()
     sample = np.array([r["vector"] for r in drawn])
     rng = np.random.default_rng(options.seed)
-    directions = rng.standard_normal((options.tables, options.projections, sample.shape[1]))
+    projections = options.projections or max(options.fewest, (n.bit_length() - 1) // 2)
+    probes = options.probes or round(50 * 1.5**projections)
+    directions = rng.standard_normal((options.tables, projections, sample.shape[1]))
     unit = lambda x: x / (np.sqrt((x**2).sum(1))[:, None])
     width = options.width * (float((unit(sample) @ directions.reshape(-1, sample.shape[1]).T).std()) or 1.0)
-    offsets = rng.uniform(0.0, 1.0, (options.tables, options.projections))
+    offsets = rng.uniform(0.0, 1.0, (options.tables, projections))
 
     def positions(x: np.ndarray) -> np.ndarray:
         """By table, row and direction, in cell widths."""
@@ -116,7 +122,7 @@ def search(rows: DataFrame, is_query, k: int, options: HashOptions = HashOptions
         place = positions(np.array([np.frombuffer(v, "<f8") for v in batch["vec"]]))
         for i, query in enumerate(batch["query_id"]):
             for t in range(options.tables):
-                cells = probe_order(place[t, i], options.probes, options.reach)
+                cells = probe_order(place[t, i], probes, options.reach)
                 out["query_id"] += [query] * len(cells)
                 out["bucket"] += [bucket_id(t, c) for c in cells]
                 out["step"] += range(len(cells))
@@ -131,10 +137,8 @@ def search(rows: DataFrame, is_query, k: int, options: HashOptions = HashOptions
     near = checkpointed(vectors.ranked(look(visits.filter(early), queries), k).drop("rank"))
     asked = checkpointed(vectors.thresholds(queries, near, k))
     found = checkpointed(vectors.ranked(near.unionByName(look(visits.filter(~early), asked)), k))
-    # queries in thin regions see every vector once
-    enough = visits.join(sizes, "bucket").groupBy("query_id").agg(F.sum("held").alias("held"))
-    enough = enough.filter(F.col("held") >= options.candidates).select("query_id")
-    full = found.filter(F.col("rank") == min(k, n - 1)).select("query_id").join(enough, "query_id", "left_semi")
+    # queries in regions with fewer vectors than they ask for see every vector once
+    full = found.filter(F.col("rank") == min(k, n - 1)).select("query_id")
     thin = checkpointed(queries.join(full, "query_id", "left_anti"))
     if thin.isEmpty():
         return found

@@ -13,6 +13,8 @@ from quietwatch.llm.common import arrow_schema, batch_of
 
 #: Vectors of one bucket that share a block; a fuller bucket is spread over several.
 BLOCK_ROWS = 4_096
+#: Found rows that a task keeps before it hands them over.
+HELD = 200_000
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -37,12 +39,6 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return clean.filter(F.size("vector") == (common[0]["n"] if common else 0))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equally long float lists as a matrix, without copying through Python objects."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def packed(vectors: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.ascontiguousarray(vectors, dtype="<f8")]
 
@@ -83,10 +79,11 @@ _FOUND = "query_id long, vec_id long, score double"
 
 
 def scan(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best products of each visit at or above its threshold, ties to the smaller id.
+    """The best products of each query at or above its threshold, ties to the smaller id: its ``k`` best are among them.
 
     A block streams through one task: its vectors, of bounded number, and then its visits one by one.  Only the
-    vectors of the buckets a visit names are compared with it; the query itself is not.
+    vectors of the buckets a visit names are compared with it; the query itself is not.  A task hands over the ``k``
+    best of a query from all its blocks, as far as ``HELD`` rows hold them.
     """
     left = index.select(
         "block", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vec", "bucket",
@@ -102,8 +99,9 @@ def scan(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, raw, buckets = None, [], [], []
         vectors = places = keys = None
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
-            found: dict[str, list] = {f.name: [] for f in target}
             for row in batch.to_pylist():
                 if row["block"] != at:
                     at, ids, raw, buckets, vectors = row["block"], [], [], [], None
@@ -123,17 +121,36 @@ def scan(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
                 chosen = np.concatenate([np.arange(a, b) for a, b in spans])
                 scores = np.einsum("ij,j->i", vectors[chosen], np.frombuffer(row["vec"], "<f8"))
                 good = (scores >= row["least"]) & (keys[chosen] != row["id"])
-                scores, own = scores[good], keys[chosen][good]
+                own, once = np.unique(keys[chosen][good], return_index=True)  # several tables may share a block
+                scores = scores[good][once]
                 best = np.lexsort((own, -scores))[:k]
-                found["query_id"] += [row["id"]] * len(best)
-                found["vec_id"] += own[best].tolist()
-                found["score"] += scores[best].tolist()
-            if found["query_id"]:
-                yield batch_of(found, target)
+                found.append((np.full(len(best), row["id"], np.int64), own[best], scores[best]))
+                held += len(best)
+                if held > HELD:
+                    found = [_best(found, k)]
+                    held = len(found[0][0])
+                    if 2 * held > HELD:
+                        yield batch_of(dict(zip(target.names, found.pop(), strict=True)), target)
+                        held = 0
+        if held:
+            yield batch_of(dict(zip(target.names, _best(found, k), strict=True)), target)
 
     return both.mapInArrow(run, _FOUND)
 
 
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best different vectors of each query: ids of queries, of vectors, scores."""
+    queries, ids, scores = (np.concatenate(part) for part in zip(*found, strict=True))
+    order = np.lexsort((-scores, ids, queries))
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    new = np.concatenate([[True], (queries[1:] != queries[:-1]) | (ids[1:] != ids[:-1])])
+    order = np.flatnonzero(new)[np.lexsort((ids[new], -scores[new], queries[new]))]
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    first = np.searchsorted(queries, queries)
+    best = np.arange(len(queries)) - first < k
+    return queries[best], ids[best], scores[best]
+
+
 def _runs(buckets: list[int]) -> dict[int, tuple[int, int]]:
     """Start and end of each bucket in a sorted list."""
     values, starts = np.unique(np.array(buckets), return_index=True)

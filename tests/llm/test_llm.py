@@ -296,7 +296,8 @@ def test_vector_searches(spark):
     scaled = np.floor(256 * x)
     for function, data, k, step in (
         (lambda r, q: exact_topk.exact_top_k(r, q, 5, scale=256), scaled, 5, 50),
-        (lambda r, q: multiprobe.search(r, q, 20), x, 20, 20),
+        # as many probes as there are cells in reach: the hashing alone finds all
+        (lambda r, q: multiprobe.search(r, q, 20, multiprobe.HashOptions(probes=11**4, reach=5)), x, 20, 20),
     ):
         got = function(usable, F.col("vec_id") % step == 0).orderBy("query_id", "rank").collect()
         for i in range(0, 300, step):
@@ -309,6 +310,27 @@ def test_vector_searches(spark):
         assert [(r.query_id, r.vec_id) for r in two] == [(0, 1)]
 
 
+@pytest.mark.parametrize("number", [500, 3000])
+def test_recall_of_the_hashing(spark, number):
+    """By the default rule, without any comparison with all vectors, nine of ten nearest are found at any size."""
+    rng = np.random.default_rng(number)
+    centres = rng.standard_normal((12, 24))
+    x = centres[rng.integers(0, 12, number)] + rng.standard_normal((number, 24))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, vector array<double>")
+    found = {}
+    for r in multiprobe.search(frame, F.col("vec_id") % 50 == 0, 20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for i in range(0, number, 50):
+        score = np.einsum("ij,j->i", x, x[i])
+        own = sorted(found[i])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and i not in [v for _, v, _ in own]
+        assert all(np.isclose(s, score[v]) for _, v, s in own)
+        score[i] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {v for _, v, _ in own})
+    assert hits >= 0.9 * 20 * len(found) and len(found) == -(-number // 50)
+
+
 def test_pipeline_on_small_rows(spark, tmp_path):
     import corpus_pipeline
 

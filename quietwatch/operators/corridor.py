@@ -15,7 +15,7 @@ from quietwatch.functions.scalars import (
     round_half_up,
     wilson_lower,
 )
-from quietwatch.session import checkpoint_dir
+from quietwatch.session import checkpoint_dir, scratch_path
 
 CLAIM = "possible corridor"
 MAX_CELL_RESOLUTION = 6
@@ -51,32 +51,44 @@ def _shorten(
     """Rounds of frontier relaxation for all keys together, until no distance improves.
 
     ``start``: keys, node, dist.  ``admit`` filters candidate rows (budget, removed cells).
-    ``settled`` drops frontier rows whose key needs no more work.  Each round is cut off from its
-    lineage by a reliable checkpoint, so a lost executor repeats one round at most.
+    ``settled`` drops frontier rows whose key needs no more work.  A round writes the distances it
+    improves and nothing else, so what is written follows the nodes reached and not the rounds; of the
+    distances written before, it reads again those of the nodes it makes an offer to.  Each round lies in
+    the shared folder, so a lost executor repeats one round at most.
     """
-    checkpoint_dir(start.sparkSession)
-    columns = [*keys, "node", "dist"]
-    known = start.select(*columns).checkpoint()
-    frontier = known
+    spark = start.sparkSession
+    columns, place = [*keys, "node", "dist"], [*keys, "node"]
+    base, first = scratch_path(spark, "distances"), start.select(*columns)
+
+    def keep(rows: DataFrame, number: int) -> DataFrame:
+        path = f"{base}/round={number}"
+        rows.write.parquet(path)
+        return spark.read.schema(first.schema).parquet(path)
+
+    def written() -> DataFrame:
+        return spark.read.schema(first.schema).parquet(base).select(*columns)
+
+    frontier, number = keep(first, 0), 0
     while True:
         offers = (
             frontier.join(edges, "node")
             .select(*keys, F.col("next_node").alias("node"), (F.col("dist") + F.col("length_m")).alias("dist"))
         )
-        offers = admit(offers).groupBy(*keys, "node").agg(F.min("dist").alias("dist"))
-        held = known.withColumnRenamed("dist", "_held")
+        offers = admit(offers).groupBy(*place).agg(F.min("dist").alias("dist"))
+        held = (
+            written().join(offers.select(*place), place, "left_semi").groupBy(*place).agg(F.min("dist").alias("_held"))
+        )
         better = (
-            offers.join(held, [*keys, "node"], "left")
+            offers.join(held, place, "left")
             .filter(F.col("_held").isNull() | (F.col("dist") < F.col("_held")))
             .select(*columns)
-            .checkpoint()
-        )
-        if better.isEmpty():
-            return known
-        known = (
-            known.unionByName(better).groupBy(*keys, "node").agg(F.min("dist").alias("dist")).checkpoint()
         )
-        frontier = better if settled is None else settled(better, known)
+        number += 1
+        frontier = keep(better, number)
+        if frontier.isEmpty():
+            return written().groupBy(*place).agg(F.min("dist").alias("dist")).checkpoint()
+        if settled is not None:
+            frontier = settled(frontier, written())
 
 
 def feasible_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:

@@ -263,22 +263,3 @@ def retention_applied(spark, sf_dir):
 )
 def corridor_claims(spark, sf_dir):
     return corridor.project_corridors(*source_queries.roads(spark, sf_dir))[0]
-
-
-@query(
-    "corridor_road_names",
-    """, held AS (
-      SELECT request_id, cell FROM unavoidable JOIN statuses USING (request_id) WHERE status = 'corridor'
-      UNION SELECT r.request_id, unnest([r.a // 2, r.b // 2]) FROM requests r JOIN statuses USING (request_id) WHERE status = 'corridor'
-    ), named AS (SELECT 'road ' || c_nationkey AS road_name, unnest([c_custkey, c_custkey + 1]) AS node FROM customer)
-    SELECT h.request_id, h.cell, coalesce((SELECT string_agg(DISTINCT road_name, ',' ORDER BY road_name) FROM feasible f JOIN named USING (node)
-      WHERE f.request_id = h.request_id AND f.cell = h.cell), '') AS road_names FROM held h""",
-    source_queries.CORRIDOR_SQL,
-)
-def corridor_road_names(spark, sf_dir):
-    requests, nodes, edges = source_queries.roads(spark, sf_dir)
-    asked = requests.withColumn("budget_m", F.col("elapsed_s") * F.col("max_speed_kph") / F.lit(3.6))
-    feasible = corridor.feasible_nodes(asked, corridor.passable_edges(edges))
-    _, cells = corridor.project_corridors(requests, nodes, edges)
-    found = corridor.corridor_table(cells, feasible, nodes, edges)
-    return found.select("request_id", "cell", F.array_join("road_names", ",").alias("road_names"))

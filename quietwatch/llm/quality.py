@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quietwatch.llm.common import MEMO_WORDS, mixed
+from quietwatch.llm.common import KEPT, mixed
+
+#: Entries of the memo of tokens; a full memo starts anew.
+MEMO_WORDS = 500_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _NUMBER, _UPPER, _TITLE, _LOWER, _SIGN, _LONG = range(1, 7)
@@ -39,6 +42,7 @@ class _Tokens(dict):
 
 
 _TOKENS = _Tokens()
+KEPT["quality"] = _TOKENS.clear
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quietwatch.llm.common import map_batches
+from quietwatch.llm.common import map_batches, working_as
 
 # The rules, and the characters that a match needs at least.  The first three are the base.  A pattern
 # must end in a repeated class or in a fixed text, so that nothing of a match lives on after its end.
@@ -420,6 +420,7 @@ def redacted(text_col: str) -> Column:
 
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        working_as("secrets")
         return texts.map(redact)
 
     return run(text_col)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quietwatch.llm.common import map_batches
+from quietwatch.llm.common import map_batches, working_as
 
 # Look-alike letters of other scripts, and digits and signs used as letters.
 HOMOGLYPHS = dict(
@@ -232,6 +232,7 @@ def _score_udf(lexicon: Lexicon):
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        working_as("toxicity")
         return pd.Series([lexicon.score(t) for t in texts], dtype="float64")
 
     return score

@@ -603,6 +603,33 @@ def queue_view_order(spark, sf_dir):
     return view.select("episode_id", ms("due_at").alias("due_ms"))
 
 
+@query(
+    "queue_view_places",
+    """SELECT 'newest' AS sort, episode_id, row_number() OVER (ORDER BY start_ms DESC, episode_id) AS place FROM due
+    UNION ALL SELECT 'oldest', episode_id, row_number() OVER (ORDER BY start_ms, episode_id) FROM due""",
+    ITEMS_SQL,
+)
+def queue_view_places(spark, sf_dir):
+    """The place of each row in the two orders by start: its place inside its range and the rows of earlier ranges."""
+    from pyspark.sql import Window
+
+    items, rows = order_items(spark, sf_dir), None
+    for sort in ("newest", "oldest"):
+        view = queue.apply_view(items, queue.View(sort, sort)).select("episode_id")
+        placed = view.select("episode_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+        inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        # one row for each range of the sort
+        ranges = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+            "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
+        )
+        shown = placed.join(F.broadcast(ranges), "part").select(
+            F.lit(sort).alias("sort"), "episode_id", (inside + F.col("earlier") + 1).alias("place")
+        )
+        rows = shown if rows is None else rows.unionByName(shown)
+    return rows
+
+
 @query(
     "queue_assignment",
     """SELECT outcome, count(*) AS requests, count(DISTINCT episode_id) AS episodes FROM (
@@ -977,9 +1004,12 @@ def pilot_evaluation(spark, sf_dir):
 
 @query(
     "pilot_verdict",
-    f"""SELECT cases AS holdout_cases, round({_wilson_sql('tp', 'flagged', '-')}, 9) AS precision_lower,
-    round({_wilson_sql('tp', 'truth', '-')}, 9) AS recall_lower, 'no_go' AS verdict, 'precision_below_floor,recall_below_floor' AS reasons,
-    36000.0::DOUBLE AS modelled_saving FROM by_interval WHERE interval = 'holdout' AND decider = 'classifier'""",
+    f"""SELECT cases AS holdout_cases, precision_lower, recall_lower, concat_ws(',', CASE WHEN cases < 30 THEN 'too_few_holdout_cases' END,
+        CASE WHEN precision_lower < 0.8 THEN 'precision_below_floor' END, CASE WHEN recall_lower < 0.8 THEN 'recall_below_floor' END) AS reasons,
+      CASE WHEN cases >= 30 AND precision_lower >= 0.8 AND recall_lower >= 0.8 THEN 'go' WHEN cases < 30 THEN 'conditional' ELSE 'no_go' END AS verdict,
+      12 * 3000.0::DOUBLE AS modelled_saving
+    FROM (SELECT *, round({_wilson_sql('tp', 'flagged', '-')}, 9) AS precision_lower, round({_wilson_sql('tp', 'truth', '-')}, 9) AS recall_lower
+      FROM by_interval WHERE interval = 'holdout' AND decider = 'classifier')""",
     _PILOT_SQL,
 )
 def pilot_verdict(spark, sf_dir):
@@ -1114,10 +1144,28 @@ def sla_report_rows(spark, sf_dir):
     return sla.report_rows(report, cohort_comparison(spark, sf_dir), aging)
 
 
-@query("sla_manifest_holds", "SELECT true AS intact")
+@query(
+    "sla_manifest_holds",
+    """SELECT changed, NOT changed AS intact, n + CASE WHEN changed THEN 1 ELSE 0 END AS accepted_events, 'report-1' AS report_id, 'device_time' AS clock_basis,
+      '1.1.0' AS rule_version FROM (SELECT count(*) AS n FROM lineitem), (VALUES (false), (true)) reports(changed)""",
+)
 def sla_manifest_holds(spark, sf_dir):
+    """The manifest of a report as it was written, and of the same report with one figure changed afterwards."""
     report = sla.with_manifest(telemetry_sla(spark, sf_dir), "report-1", "1.1.0", "1.0.0", "device_time")
-    return sla.manifest_holds(report)
+    rows = None
+    for changed in (False, True):
+        shown = report.withColumn("accepted_events", F.col("accepted_events") + 1) if changed else report
+        body = F.struct(*[c for c in shown.columns if c != "manifest"])
+        held = shown.select(
+            F.lit(changed).alias("changed"),
+            (sla.body_hash(body) == F.col("manifest.integrity_sha256")).alias("intact"),
+            "accepted_events",
+            "manifest.report_id",
+            "manifest.clock_basis",
+            "manifest.rule_version",
+        )
+        rows = held if rows is None else rows.unionByName(held)
+    return rows
 
 
 @query(

@@ -246,7 +246,7 @@ def retention_applied(spark, sf_dir):
     again = apply("second")
     left = spark.read.schema(items.schema).parquet(f"{base}/items")
     kept = left.groupBy("data_class").agg(F.count(F.lit(1)).alias("kept"))
-    marks = spark.read.parquet(f"{base}/tombstones").groupBy("data_class").agg(F.count_distinct("ref").alias("tombstones"))
+    marks = retention.read_tombstones(spark, f"{base}/tombstones").groupBy("data_class").agg(F.count_distinct("ref").alias("tombstones"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return kept.join(marks, "data_class", "full").select(
         "data_class", zero("kept"), zero("tombstones"), F.lit(again).alias("deleted_again")

@@ -25,6 +25,10 @@ RETENTION_DAYS: dict[str, int | None] = {
 BACKUP_WINDOW_DAYS = 35
 MAX_BACKUP_WINDOW_DAYS = 35
 MAX_TELEMETRY_DAYS = 180
+TOMBSTONE_SCHEMA = (
+    "ref string, data_class string, deleted_at timestamp, run_id string, policy_version string,"
+    " purged_from_backups_by timestamp"
+)
 
 
 def check_policy(days: Mapping[str, int | None], backup_days: int = BACKUP_WINDOW_DAYS) -> None:
@@ -74,6 +78,16 @@ def match_holds(items: DataFrame, holds: DataFrame) -> DataFrame:
     )
 
 
+def read_tombstones(spark: SparkSession, path: str) -> DataFrame:
+    """The tombstone table; no rows where no run has deleted anything yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:  # noqa: BLE001  the table begins with the first deletion
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    return spark.createDataFrame([], TOMBSTONE_SCHEMA)
+
+
 def without_tombstones(items: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Items not yet deleted."""
     return items.join(tombstones.select("ref").distinct(), "ref", "left_anti")
@@ -158,11 +172,7 @@ def apply_retention(
     if not deleted:
         return 0
     marks = tombstones_for(plan, run_id, deleted_at, policy_version)
-    try:
-        marks = without_tombstones(marks, spark.read.parquet(tombstone_path))
-    except Exception as error:  # noqa: BLE001  the first run has no tombstone table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    marks = without_tombstones(marks, read_tombstones(spark, tombstone_path))
     marks.join(present.select("ref").distinct(), "ref", "left_semi").write.mode("append").parquet(
         tombstone_path
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quietwatch.functions.ordered import HOT_ROWS, slice_hot_keys, with_last_seen, with_previous
 from quietwatch.functions.scalars import ms
 from quietwatch.operators import segments
+from quietwatch.session import written
 
 # Open end as milliseconds, beyond any timestamp Spark can hold in milliseconds.
 OPEN_END_MS = 2**62
@@ -21,6 +22,9 @@ OPEN_END_MS = 2**62
 # merged by time.
 MAX_BROADCAST_RECORDS = 500_000
 
+# Keys with up to this many intervals compare each of them with a row; longer histories go by time buckets.
+MAX_COMPARED = 128
+
 DAY_MS = 86_400_000
 MONTH_MS = 30 * DAY_MS
 
@@ -158,6 +162,17 @@ def resolve_device(
     ).drop("resolved")
 
 
+def _by_history(rows: DataFrame, intervals: DataFrame, key: str, by_key, by_bucket, max_compared: int) -> DataFrame:
+    """Rows beside the intervals of their key: by the key alone, or by time buckets where a history is long."""
+    counts = intervals.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    long = counts.filter((F.col("_n") > max_compared) & F.col(key).isNotNull()).drop("_n")
+    if long.isEmpty():
+        return by_key(rows, intervals)
+    short = by_key(rows.join(long, key, "left_anti"), intervals.join(long, key, "left_anti"))
+    bucketed = by_bucket(rows.join(long, key, "left_semi"), intervals.join(long, key, "left_semi"))
+    return short.unionByName(bucketed, allowMissingColumns=True)
+
+
 def resolve_asset(
     probe: DataFrame,
     asset_device: DataFrame,
@@ -165,32 +180,31 @@ def resolve_asset(
     at: str,
     bucket_ms: int = MONTH_MS,
     max_broadcast: int = MAX_BROADCAST_RECORDS,
+    max_compared: int = MAX_COMPARED,
 ) -> DataFrame:
     """Every device on an asset at an instant, with its own resolution; primary sorts first.
 
-    The answer may hold several devices per instant, so the interval is exploded into time buckets
-    and joined on ``(asset_ref, bucket)``.
+    The answer may hold several devices per instant.  An asset of up to ``max_compared`` assignments meets them by
+    its name alone; the intervals of longer histories are exploded into time buckets and joined on
+    ``(asset_ref, bucket)``.
     """
     start, end = _bounds("valid_from", "valid_to")
-    keyed = probe.withColumn("_t", ms(at)).withColumn("_bucket", F.floor(F.col("_t") / bucket_ms))
-    horizon = keyed.agg(F.max("_t").alias("_horizon"))
-    last = F.greatest(start, F.least(end - 1, F.col("_horizon")))
-    pieces = (
-        well_formed(asset_device)
-        .join(F.broadcast(horizon))
-        .select(
-            "asset_ref",
-            "device_ref",
-            start.alias("_start"),
-            end.alias("_end"),
-            F.explode(F.sequence(F.floor(start / bucket_ms), F.floor(last / bucket_ms))).alias(
-                "_bucket"
-            ),
-        )
+    keyed = probe.withColumn("_t", ms(at))
+    placed = well_formed(asset_device).select(
+        "asset_ref", "device_ref", start.alias("_start"), end.alias("_end")
     )
+    holds = (F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_end"))
+
+    def by_bucket(asked: DataFrame, intervals: DataFrame) -> DataFrame:
+        horizon = asked.agg(F.max("_t").alias("_horizon"))
+        last = F.greatest("_start", F.least(F.col("_end") - 1, F.col("_horizon")))
+        spanned = F.sequence(F.floor(F.col("_start") / bucket_ms), F.floor(last / bucket_ms))
+        pieces = intervals.join(F.broadcast(horizon)).withColumn("_bucket", F.explode(spanned)).drop("_horizon")
+        return asked.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms)).join(pieces, ["asset_ref", "_bucket"])
+
     on_asset = (
-        keyed.join(pieces, ["asset_ref", "_bucket"])
-        .filter((F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_end")))
+        _by_history(keyed, placed, "asset_ref", lambda a, b: a.join(b, "asset_ref"), by_bucket, max_compared)
+        .filter(holds)
         .drop("_bucket", "_start", "_end", "_t")
     )
     resolved = resolve_device(
@@ -212,43 +226,38 @@ def overlapping_pairs(
     from_col: str = "valid_from",
     to_col: str = "valid_to",
     bucket_ms: int = MONTH_MS,
+    max_compared: int = MAX_COMPARED,
 ) -> DataFrame:
     """Pairs of sound records of one key that overlap, earlier start first.
 
-    The later record starts inside the earlier one, so starts are matched with the time buckets the
-    earlier interval spans: work follows the overlaps found, not the square of the history.
+    The later record starts inside the earlier one.  A key of up to ``max_compared`` records compares them by the
+    key alone; in longer histories starts are matched with the time buckets the earlier interval spans: work
+    follows the overlaps found, not the square of the history.
     """
     start, end = _bounds(from_col, to_col)
-    sound = well_formed(records, from_col, to_col).select(
-        F.col(key).alias("key"),
-        F.col(record_id).alias("id"),
-        start.alias("s"),
-        end.alias("e"),
-        F.floor(start / bucket_ms).alias("_bucket"),
-    )
-    horizon = sound.agg(F.max("s").alias("_h"))
-    last = F.greatest(F.col("s"), F.least(F.col("e") - 1, F.col("_h")))
-    spans = (
-        sound.drop("_bucket")
-        .join(F.broadcast(horizon))
-        .select(
-            "key",
-            F.col("id").alias("earlier_id"),
-            F.col("s").alias("_as"),
-            F.col("e").alias("_ae"),
-            F.explode(
-                F.sequence(F.floor(F.col("s") / bucket_ms), F.floor(last / bucket_ms))
-            ).alias("_bucket"),
-        )
+    sound = (
+        well_formed(records, from_col, to_col)
+        .select(F.col(key).alias("key"), F.col(record_id).alias("id"), start.alias("s"), end.alias("e"))
+        .filter(F.col("s").isNotNull())
     )
+
+    def earlier(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({"id": "earlier_id", "s": "_as", "e": "_ae"})
+
+    def by_bucket(rows: DataFrame, others: DataFrame) -> DataFrame:
+        horizon = rows.agg(F.max("s").alias("_h"))
+        last = F.greatest("_as", F.least(F.col("_ae") - 1, F.col("_h")))
+        spanned = F.sequence(F.floor(F.col("_as") / bucket_ms), F.floor(last / bucket_ms))
+        spans = earlier(others).join(F.broadcast(horizon)).withColumn("_bucket", F.explode(spanned)).drop("_h")
+        return rows.withColumn("_bucket", F.floor(F.col("s") / bucket_ms)).join(spans, ["key", "_bucket"]).drop("_bucket")
+
     return (
-        sound.withColumnRenamed("id", "later_id")
-        .join(spans, ["key", "_bucket"])
+        _by_history(sound, sound, "key", lambda a, b: a.join(earlier(b), "key"), by_bucket, max_compared)
         .filter(
-            (F.struct("_as", "earlier_id") < F.struct("s", "later_id"))
+            (F.struct("_as", "earlier_id") < F.struct("s", F.col("id")))
             & (F.col("s") < F.col("_ae"))
         )
-        .select("key", "earlier_id", "later_id")
+        .select("key", "earlier_id", F.col("id").alias("later_id"))
     )
 
 

@@ -37,25 +37,28 @@ def query(name: str, sql: str, view: str = "none AS (SELECT 1)"):
     IMPORT_SQL,
 )
 def ndjson_files(spark, sf_dir):
-    """One NDJSON file with blank lines and rows above the limit, read in many splits; each row has its own number."""
+    """NDJSON files with blank lines and rows above the limit, read in many splits; each row has its own number."""
     path = f"{scratch_path(spark, 'lines')}.ndjson"
     n = F.col("row_number") - 1
     padded = F.concat(F.lit('"ext":{"pad":"'), F.repeat(F.lit("x"), 270_000), F.lit('"},"schema_version"'))
     line = F.when(n % 5000 == 7, F.replace("line", F.lit('"schema_version"'), padded)).otherwise(F.col("line"))
     spaced = F.when(n % 10 == 0, F.concat(line, F.lit("\n  \t"))).otherwise(line)
-    event_lines(spark, sf_dir).select(spaced.alias("value")).coalesce(1).write.text(path)
+    event_lines(spark, sf_dir).select(spaced.alias("value")).write.text(path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
     try:
         rows = readers.read_batch(spark, [path])
-        routed = written(ingest.route(rows, RUN).select("code", "row_number"), "routed")  # cut while splits are small
+        routed = written(ingest.route(rows, RUN).select("file", "code", "row_number"), "routed")  # cut while splits are small
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    label = lambda name: F.lit(name).alias("label")
+    files = routed.groupBy("file").agg(
+        F.max("row_number").alias("last_row"), F.count_distinct("row_number").alias("numbers")
+    )
+    total = lambda name: files.agg(F.lit(name).alias("label"), F.sum(name).alias("rows")).filter("rows IS NOT NULL")
     return (
         routed.groupBy(F.coalesce("code", F.lit("accepted")).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
-        .unionByName(routed.select(label("last_row"), "row_number").groupBy("label").agg(F.max("row_number").alias("rows")))
-        .unionByName(routed.select(label("numbers"), "row_number").groupBy("label").agg(F.count_distinct("row_number").alias("rows")))
+        .unionByName(total("last_row"))
+        .unionByName(total("numbers"))
     )
 
 

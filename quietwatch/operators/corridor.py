@@ -54,7 +54,8 @@ def _shorten(
     ``settled`` drops frontier rows whose key needs no more work.  A round writes the distances it
     improves and nothing else, so what is written follows the nodes reached and not the rounds; of the
     distances written before, it reads again those of the nodes it makes an offer to.  Each round lies in
-    the shared folder, so a lost executor repeats one round at most.
+    the shared folder, so a lost executor repeats one round at most.  The joins of a round are merges: a
+    broadcast would send a table that grows with the requests through the driver in every round.
     """
     spark = start.sparkSession
     columns, place = [*keys, "node", "dist"], [*keys, "node"]
@@ -71,15 +72,18 @@ def _shorten(
     frontier, number = keep(first, 0), 0
     while True:
         offers = (
-            frontier.join(edges, "node")
+            frontier.join(edges.hint("merge"), "node")
             .select(*keys, F.col("next_node").alias("node"), (F.col("dist") + F.col("length_m")).alias("dist"))
         )
         offers = admit(offers).groupBy(*place).agg(F.min("dist").alias("dist"))
         held = (
-            written().join(offers.select(*place), place, "left_semi").groupBy(*place).agg(F.min("dist").alias("_held"))
+            written()
+            .join(offers.select(*place).hint("merge"), place, "left_semi")
+            .groupBy(*place)
+            .agg(F.min("dist").alias("_held"))
         )
         better = (
-            offers.join(held, place, "left")
+            offers.join(held.hint("merge"), place, "left")
             .filter(F.col("_held").isNull() | (F.col("dist") < F.col("_held")))
             .select(*columns)
         )
@@ -99,7 +103,7 @@ def feasible_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     budget = requests.select("request_id", "budget_m")
 
     def within(rows: DataFrame) -> DataFrame:
-        return rows.join(budget, "request_id").filter(F.col("dist") <= F.col("budget_m"))
+        return rows.join(budget.hint("merge"), "request_id").filter(F.col("dist") <= F.col("budget_m"))
 
     zero = F.lit(0.0).alias("dist")
     out = _shorten(
@@ -115,7 +119,7 @@ def feasible_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     reached = out.withColumnRenamed("dist", "from_start")
 
     def inside(rows: DataFrame) -> DataFrame:
-        return within(rows.join(reached, ["request_id", "node"])).filter(
+        return within(rows.join(reached.hint("merge"), ["request_id", "node"])).filter(
             F.col("dist") + F.col("from_start") <= F.col("budget_m")
         )
 
@@ -167,14 +171,14 @@ def unavoidable_cells(
 
     def admit(rows: DataFrame) -> DataFrame:
         return (
-            rows.join(bound, ["request_id", "node"])
+            rows.join(bound.hint("merge"), ["request_id", "node"])
             .filter(F.col("_at_cell") != F.col("cell"))
             .filter(F.col("dist") + F.col("to_goal") <= F.col("budget_m"))
         )
 
     def unfinished(frontier: DataFrame, known: DataFrame) -> DataFrame:
-        done = known.join(goals, ["request_id", "node"], "left_semi").select(*keys)
-        return frontier.join(done, keys, "left_anti")
+        done = known.join(goals.hint("merge"), ["request_id", "node"], "left_semi").select(*keys)
+        return frontier.join(done.hint("merge"), keys, "left_anti")
 
     start = trials.join(
         requests.select("request_id", F.col("from_node").alias("node")), "request_id"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietwatch.functions.ordered import HOT_ROWS, prefix_states
+from quietwatch.functions.ordered import prefix_states
 from quietwatch.functions.scalars import from_ms, ms, ratio
 
 DEFAULT_MINIMUM = 3
@@ -18,6 +18,9 @@ DEFAULT_WINDOW_S = 1800
 # A block spans several windows, so it holds few anchors and its effect on later blocks is short.
 WINDOWS_PER_BLOCK = 8
 
+# Distinct starts up to which the burst of one key may be one row that folds in one task.
+PIECE_ROWS = 20_000
+
 
 def network_identity(mcc: Column, mnc: Column) -> Column:
     return F.concat(mcc.cast("string"), F.lit("-"), F.lpad(mnc.cast("string"), 2, "0"))
@@ -176,7 +179,7 @@ def _anchors_by_block(starts: DataFrame, window: int) -> DataFrame:
 
 
 def assign_clusters(
-    members: DataFrame, window_s: int = DEFAULT_WINDOW_S, hot_rows: int = HOT_ROWS
+    members: DataFrame, window_s: int = DEFAULT_WINDOW_S, hot_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Add ``cluster_start_ms``: the first start of the burst a member belongs to.
 

@@ -26,6 +26,9 @@ HOT_ROWS = 500_000
 #: Rows, of some dozen bytes, up to which a side table is broadcast.
 MAX_SIDE_ROWS = 200_000
 
+#: Rows of one task; where the session's shuffle partitions would hold more, there are more partitions.
+ROWS_PER_TASK = 1_000_000
+
 SLICE = "_slice"
 _HOT = "_hot"
 _TIE = "_tie"
@@ -69,6 +72,13 @@ def _join_side(rows: DataFrame, side: DataFrame, names: Sequence[str], bound: in
     return rows.join(F.broadcast(side) if bound <= MAX_SIDE_ROWS else side, on, "left").drop(*there.values())
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Rows partitioned by their keys so that a task sorts about ``ROWS_PER_TASK`` of them, however many there are."""
+    tasks = -(-rows // ROWS_PER_TASK)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > usual else df
+
+
 def slice_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,10 +94,14 @@ def slice_hot_keys(
     keys, order = tuple(keys), tuple(order)
     if order[0] != time_ms:
         raise ValueError("order must start with the time")
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    number, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    is_hot = F.col("_n") > hot_rows
+    number, total, rows = counts.agg(
+        F.count_if(is_hot), F.coalesce(F.sum(F.when(is_hot, F.col("_n"))), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))
+    ).first()
+    hot = counts.filter(is_hot)
     if not number:
-        return Sliced(df.withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, False)
+        return Sliced(spread(df, keys, rows).withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, False)
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = _join_side(df, hot.select(*keys, F.lit(True).alias(_HOT)), keys, number)
     cold = marked.filter(F.col(_HOT).isNull()).withColumns(

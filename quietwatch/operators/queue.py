@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietwatch.functions.ordered import spread
 from quietwatch.functions.scalars import from_ms, ms, round_half_up
 from quietwatch.operators.classify import band_rank
 
@@ -197,6 +198,8 @@ def merge_assignments(items: DataFrame, requests: DataFrame) -> DataFrame:
     The first request that saw the current version wins; every other one is a conflict and is told
     the owner and version that stand after the merge.
     """
+    rows = requests.count()
+    requests, items = spread(requests, ["episode_id"], rows), spread(items, ["episode_id"], rows)
     current = F.col("expected_version") == F.col("old_version")
     seen = (
         requests.withColumnRenamed("owner", "new_owner")

@@ -14,9 +14,6 @@ from quietwatch.session import checkpoint_dir, configure, scratch_path
 #: Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
 
-#: Entries of a memo of words, some 20 MB; a full memo starts anew, so its memory stays bounded.
-MEMO_WORDS = 150_000
-
 #: What each kind of work keeps in a Python worker, by how to drop it, and the kind that was done last.
 KEPT: dict[str, Callable[[], None]] = {}
 _LAST: list[str] = [""]
@@ -97,23 +94,10 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 batch_of = _batch
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-KEPT["words"] = _HASHES.clear
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; to hash a word anew costs less than to look it up among very many."""
     working_as("words")
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -13,8 +13,11 @@ at distance 1 from any of them.  So regions come in two levels, and both bounds
   without such a y are done; the rest form the region anew with the next pivot.  What is left after a few pivots,
   documents that share little more than their seed, splits into annuli of set sizes and blocks of bounded size.
 
-Before sets are compared, counts of their shingles by 128 hash classes bound the distance from below (each class is a
-pivot set; the differences add up to a lower bound of the symmetric difference).
+Regions that hold nearly the same classes are merged, so near copies that share very many seeds meet in few regions.
+
+Before sets are compared, parities of their shingles by hash classes bound the distance from below: classes of unlike
+parity hold a shingle each that only one of the sets has.  There are two to four such classes for each shingle, so the
+bound is near the distance itself and hardly a pair that is not linked gets past it.
 
 Documents with equal sets are one class throughout.  Links end in ``components.connected``.  The recursion finds the
 components only; where links are asked for, they are counted afterwards from all pairs of classes of a component.
@@ -36,7 +39,8 @@ from quietwatch.llm.common import (
 )
 from quietwatch.llm.components import connected
 
-BINS = 128
+#: Hash classes of parities, at least and at most; beyond a set of half as many the bound becomes weaker.
+LEAST_BITS, MOST_BITS = 64, 65_536
 
 
 @dataclass(frozen=True)
@@ -100,22 +104,43 @@ def _seeds(first: bytes) -> np.ndarray:
     return np.frombuffer(first, "<u8")
 
 
-def far_apart(bins_a: np.ndarray, bins_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Lower bounds of the Jaccard distance, by row."""
+def parities(s: np.ndarray) -> bytes:
+    """For each hash class whether the set has an odd number of shingles of it, one bit each."""
+    size = min(max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()), MOST_BITS) if len(s) else LEAST_BITS
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(mark: bytes, size: int) -> bytes:
+    """The parities of fewer classes: a class of them is two of the others."""
+    while len(mark) > size:
+        half = len(mark) // 2
+        mark = (int.from_bytes(mark[:half]) ^ int.from_bytes(mark[half:])).to_bytes(half)
+    return mark
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only, by their parities."""
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size)) ^ int.from_bytes(folded(b, size))).bit_count()
+
+
+def far_apart(only_one: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Lower bounds of the Jaccard distance, by row; ``only_one``: at least so many shingles are in one set only."""
     total = (n_a + n_b).astype(np.float64)
-    apart = np.maximum(np.abs(bins_a.astype(np.int64) - bins_b.astype(np.int64)).sum(axis=1), np.abs(n_a - n_b))
+    apart = np.maximum(only_one, np.abs(n_a - n_b))
     return 2.0 * apart / (total + apart)
 
 
 def read_sets(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptions) -> DataFrame:
-    """``row, doc_id, print, n, c1, c2, bins, first`` of each document, written to the shared folder.
+    """``row, doc_id, print, n, c1, c2, parity, first`` of each document, written to the shared folder.
 
     ``row`` numbers the documents; ``print`` hashes the text; (c1, c2) is a 128-bit name of the set; ``first`` are its smallest shingles,
     eight bytes each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, print long, n int, c1 long, c2 long, bins binary, first binary"
+    schema = f"row long, doc_id {id_type}, print long, n int, c1 long, c2 long, parity binary, first binary"
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
@@ -125,9 +150,8 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, options: JaccardOptio
             for doc_id, text_print, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, options.words)
                 name = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                bins = np.minimum(np.bincount(s & np.uint64(BINS - 1), minlength=BINS), 65_535)
                 values = (
-                    number, doc_id, text_print, len(s), int(name[0]), int(name[1]), bins.astype("<u2").tobytes(),
+                    number, doc_id, text_print, len(s), int(name[0]), int(name[1]), parities(s),
                     s[: stored_size(len(s))].tobytes(),
                 )
                 number += 1
@@ -225,8 +249,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
     members = shared.join(of_row.select("row", "class", "n"), "row").select("seed", "class", "n").distinct()
     members = _crowded(members)
     wanted = members.select(F.col("class").alias("row")).distinct()
-    bins, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
-    roots = connected(_recursion(bins, items, members, options))
+    parity, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
+    roots = connected(_recursion(parity, items, members, options))
     if count:
         kin = roots.withColumnRenamed("node", "class").join(classes.select("class", "n"), "class")
         degree = checkpointed(_degrees(items, kin, options))
@@ -244,25 +268,34 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """Members of regions that still hold two classes, with the size of the region.
+    """Members, ``seed, class, n``, of regions that still hold two classes.
 
     Seeds that stand in the same texts make the same region; one of them stands for all.  Equal regions are known by
-    their size and two hashes of 64 bits of their classes.
+    their size and two hashes of 64 bits of their classes.  Regions that agree in their first and last class make one,
+    if that is at most twice as large as the largest of them; whatever two classes met before meet still.
     """
+    members = checkpointed(members)  # read three times below
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "class")).alias(f"mark{k}") for k in (1, 2)]
-    sizes = members.groupBy("seed").agg(F.count("*").alias("size"), *marks).filter("size > 1")
-    regions = sizes.groupBy("size", "mark1", "mark2").agg(F.min("seed").alias("seed")).select("seed", "size")
-    return checkpointed(members.join(regions, "seed"))
+    ends = [F.min("class").alias("low"), F.max("class").alias("high")]
+    sizes = members.groupBy("seed").agg(F.count("*").alias("size"), *ends, *marks).filter("size > 1")
+    regions = checkpointed(sizes.groupBy("size", "low", "high", "mark1", "mark2").agg(F.min("seed").alias("seed")))
+    alike = regions.groupBy("low", "high").agg(F.count("*").alias("met"), F.max("size").alias("most"), F.min("seed").alias("into"))
+    moved = regions.join(alike.filter("met > 1"), ["low", "high"]).select("seed", "into", "most")
+    union = members.join(moved, "seed").groupBy("into", "class").agg(F.first("most").alias("most"))
+    narrow = union.groupBy("into").agg(F.count("*").alias("held"), F.first("most").alias("most")).filter("held <= 2 * most")
+    moved = moved.select("seed", "into").join(narrow.select("into"), "into")
+    kept = regions.select("seed").join(moved, "seed", "left").withColumn("into", F.coalesce("into", "seed"))
+    return checkpointed(members.join(kept, "seed").select(F.col("into").alias("seed"), "class", "n").distinct())
 
 
 def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFrame, DataFrame]:
-    """``row, bins`` and ``row, items`` of the wanted classes; the latter lie partitioned by ``row``.
+    """``row, parity`` and ``row, items`` of the wanted classes; the latter lie partitioned by ``row``.
 
     Their texts are read again: to store every document's set would take twice the input.  Rows equal in id and text
     make equal rows here.
     """
     key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("key")
-    names = checkpointed(sets.select("row", key("doc_id"), "print", "bins").join(wanted, "row"))
+    names = checkpointed(sets.select("row", key("doc_id"), "print", "parity").join(wanted, "row"))
     texts = docs.select(key(id_col), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     small = names.select("key", "print", "row")
     if names.count() <= options.broadcast_rows:
@@ -273,12 +306,12 @@ def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFram
 
     built = map_batches(texts.join(small, ["key", "print"]).select("row", "text"), build, "row long, items binary")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return names.select("row", "bins"), built.repartition(partitions, "row").persist()
+    return names.select("row", "parity"), built.repartition(partitions, "row").persist()
 
 
-def _recursion(bins, items, members, options) -> DataFrame:
+def _recursion(parity, items, members, options) -> DataFrame:
     """Pairs of classes, ``a, b``, that reach as far as all links do."""
-    spark = bins.sparkSession
+    spark = parity.sparkSession
     known = spark.createDataFrame([], "a long, b long, distance double, exact boolean")
     for _ in range(options.pivot_turns):
         if members.isEmpty():
@@ -292,7 +325,7 @@ def _recursion(bins, items, members, options) -> DataFrame:
         pairs = members.join(pivots, "seed").filter("pivot < class").select(
             "seed", F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
         )
-        found = _distances(bins, items, _new(pairs, known))
+        found = _distances(parity, items, _new(pairs, known))
         known = checkpointed(known.unionByName(found))
         measured = pairs.select("seed", "a", "b").join(known, ["a", "b"])
         linked = F.col("exact") & (F.col("distance") <= 0.2)
@@ -304,13 +337,13 @@ def _recursion(bins, items, members, options) -> DataFrame:
             (F.col("outer").isNull() | (F.col("distance") + 0.2 < F.col("outer") - 1e-9)).alias("done"),
         )
         rest = members.join(pivots.select("seed", F.col("pivot").alias("class")), ["seed", "class"], "left_anti")
-        rest = rest.drop("size").join(near, ["seed", "class"], "left").filter(~F.coalesce("done", F.lit(False)))
+        rest = rest.join(near, ["seed", "class"], "left").filter(~F.coalesce("done", F.lit(False)))
         members = _crowded(rest.drop("done"))
     is_link = "exact AND distance <= 0.2"
     early = checkpointed(connected(known.filter(is_link).select("a", "b")))
     joined = members.join(early.select(F.col("node").alias("class"), F.col("root").alias("joined")), "class", "left")
-    last = _new(_leaves(bins, joined.withColumn("joined", F.coalesce("joined", "class")), options), known)
-    late = checkpointed(_distances(bins, items, last).filter(is_link).select("a", "b"))
+    last = _new(_leaves(parity, joined.withColumn("joined", F.coalesce("joined", "class")), options), known)
+    late = checkpointed(_distances(parity, items, last).filter(is_link).select("a", "b"))
     return late.unionByName(early.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
@@ -324,7 +357,7 @@ ANNULUS = 1.26
 PAIRS = 50_000
 
 
-def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
+def _leaves(parity: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
     """``a, b, na, nb``: pairs in what is left of the regions that the lower bound cannot rule out.
 
     A region splits into annuli of sizes; each member is copied to the next annulus as a visitor.  An annulus of many
@@ -346,15 +379,16 @@ def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> Dat
             "seed", "ring", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
             "class", "n", "joined", "home",
         )
-        .join(bins.withColumnRenamed("row", "class"), "class")
+        .join(parity.withColumnRenamed("row", "class"), "class")
     )
     keys = ["seed", "ring", "i", "j"]
     schema = "a long, b long, na int, nb int"
-    target = arrow_schema(bins.sparkSession, schema)
+    target = arrow_schema(parity.sparkSession, schema)
 
     def pairs_of(group: list[dict]):
         """The pairs of one member with all later ones, time after time."""
-        wide = np.frombuffer(b"".join(r["bins"] for r in group), "<u2").reshape(-1, BINS).astype(np.int32)
+        size = min(len(r["parity"]) for r in group)
+        wide = np.frombuffer(b"".join(folded(r["parity"], size) for r in group), "<u8").reshape(len(group), -1)
         ids, n, own, home, tag = (np.array([r[c] for r in group]) for c in ("class", "n", "own", "home", "joined"))
         crossing = group[0]["i"] != group[0]["j"]
         for k in range(len(group) - 1):
@@ -364,7 +398,8 @@ def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> Dat
                 good &= own[rest] != own[k]
             at = np.flatnonzero(good & (np.minimum(n[k], n[rest]) * 5 >= np.maximum(n[k], n[rest]) * 4)) + k + 1
             if len(at):
-                at = at[far_apart(wide[at], wide[k][None], n[at], n[k]) <= 0.2 + 1e-9]
+                only_one = np.bitwise_count(wide[at] ^ wide[k]).sum(axis=1, dtype=np.int64)
+                at = at[far_apart(only_one, n[at], n[k]) <= 0.2 + 1e-9]
             if len(at):
                 swap = ids[at] < ids[k]
                 low, high = np.where(swap, ids[at], ids[k]), np.where(swap, ids[k], ids[at])
@@ -386,18 +421,18 @@ def _leaves(bins: DataFrame, members: DataFrame, options: JaccardOptions) -> Dat
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
 
 
-def _distances(bins, items, pairs) -> DataFrame:
+def _distances(parity, items, pairs) -> DataFrame:
     """``a, b, distance, exact`` of each pair: the distance, or a lower bound above 0.2 that spares the comparison.
 
     A link is 100 * intersection >= 80 * union, decided in whole numbers; its distance is then at most 0.2.
     """
-    sized = pairs.join(bins.select(F.col("row").alias("a"), F.col("bins").alias("bins_a")), "a").join(
-        bins.select(F.col("row").alias("b"), F.col("bins").alias("bins_b")), "b"
+    sized = pairs.join(parity.select(F.col("row").alias("a"), F.col("parity").alias("parity_a")), "a").join(
+        parity.select(F.col("row").alias("b"), F.col("parity").alias("parity_b")), "b"
     )
 
     def bound(batch):
-        wide = [np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, BINS) for c in ("bins_a", "bins_b")]
-        least = far_apart(*wide, np.array(batch["na"]), np.array(batch["nb"]))
+        only_one = np.array(list(map(unlike, batch["parity_a"], batch["parity_b"])), np.int64)
+        least = far_apart(only_one, np.array(batch["na"]), np.array(batch["nb"]))
         return {"a": batch["a"], "b": batch["b"], "distance": least}
 
     bounded = checkpointed(map_batches(sized, bound, "a long, b long, distance double"))

@@ -5,9 +5,11 @@ leftmost of equal ones.  Equal windows have equal minimisers, so a run of neighb
 super-k-mer) can only meet its repeats among the super-k-mers of the same minimiser.  Three steps:
 
 1. Every super-k-mer sends its minimiser alone.  Minimisers met once cannot hold a repeated window and end here.
-2. The others travel as one packed string of words to the bucket of their minimiser.  A minimiser met more than
-   ``hot`` times is spread: its windows travel one by one to ``salts`` buckets of their own content.
-3. In a bucket the windows are sorted by 128-bit fingerprints of their words; equal neighbours are repeats.
+2. The others travel, as the 128-bit fingerprints of their windows, to the bucket of their minimiser.  A minimiser met
+   more than ``hot`` times is spread: its windows travel one by one to ``salts`` buckets of their own content.  A
+   fingerprint is a pair of polynomials over two 64-bit hashes of each word, so that of every window is the difference
+   of two sums and each word is hashed once, however many windows hold it.
+3. In a bucket the windows are sorted by their fingerprints; equal neighbours are repeats.
 4. Of a spread window each bucket hands over one row, a window that is alone there or a witness of repeats.  Those few
    rows meet by fingerprint, so that no task gets all places of a passage that very many documents share.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietwatch.llm.common import arrow_schema, batch_of, gram_hashes, map_batches, word_hashes, written
+from quietwatch.llm.common import arrow_schema, batch_of, gram_hashes, map_batches, mixed, working_as, written
 
 
 @dataclass(frozen=True)
@@ -45,12 +48,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def super_kmers(words: list[bytes], options: SubstringOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each super-k-mer, in order."""
+def hashed(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """Two 64-bit hashes of each word of each text."""
+    working_as("words")
+    words = [words_of(t) for t in texts]
+    raw = b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(words)))
+    return np.split(np.frombuffer(raw, ">u8").reshape(-1, 2).astype(np.uint64), np.cumsum([len(w) for w in words])[:-1])
+
+
+def super_kmers(hashes: np.ndarray, options: SubstringOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, first window and number of windows of each super-k-mer, in order, from one hash of each word."""
     none = np.zeros(0, np.int64)
-    if len(words) < options.window:
+    if len(hashes) < options.window:
         return none, none, none
-    grams = gram_hashes(word_hashes(words), options.gram)
+    grams = gram_hashes(hashes, options.gram)
     wide = np.lib.stride_tricks.sliding_window_view(grams, options.window - options.gram + 1)
     place = wide.argmin(axis=1) + np.arange(len(wide))
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
@@ -58,6 +69,22 @@ def super_kmers(words: list[bytes], options: SubstringOptions) -> tuple[np.ndarr
     return grams[place[first]].view(np.int64), first, count
 
 
+#: Odd multipliers of the two polynomials of a fingerprint.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+PRINT_BYTES = 16
+
+
+def window_prints(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprint, two numbers, of each run of ``width`` words; wherever it stands, the same words have the same."""
+    prints = np.empty((max(0, len(hashes) - width + 1), 2), np.uint64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    for half, k in enumerate(MULTIPLIERS if len(prints) else ()):
+        np.cumsum(hashes[:, half] * np.full(len(hashes), k, np.uint64).cumprod(), out=sums[1:])
+        back = np.full(len(prints), pow(k, -1, 1 << 64), np.uint64).cumprod()
+        prints[:, half] = (sums[width:] - sums[:-width]) * back
+    return prints
+
+
 def _keys(id_col: str, text_col: str) -> list[Column]:
     """A row is known by its id and text; rows equal in both are interchangeable."""
     return [F.xxhash64(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(F.col(text_col)).alias("k2")]
@@ -70,7 +97,7 @@ def repeated_windows(
     rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
     def send(batch):
-        found = [super_kmers(words_of(t), options)[0] for t in batch["text"]]
+        found = [super_kmers(h[:, 0], options)[0] for h in hashed(batch["text"])]
         sizes = [len(x) for x in found]
         return {
             "minimiser": np.concatenate(found),
@@ -94,19 +121,21 @@ def repeated_windows(
 
     def pack(batch):
         out = {"bucket": [], "k1": [], "k2": [], "start": [], "packed": []}
-        for k1, k2, text, kept, hot in zip(*(batch[c] for c in ("k1", "k2", "text", "minimisers", "hot")), strict=True):
-            words = words_of(text)
-            minimisers, first, count = super_kmers(words, options)
+        of_text = hashed(batch["text"])
+        for k1, k2, hashes, kept, hot in zip(batch["k1"], batch["k2"], of_text, batch["minimisers"], batch["hot"], strict=True):
+            minimisers, first, count = super_kmers(hashes[:, 0], options)
             chosen, spread = np.isin(minimisers, np.array(kept, np.int64)), set(hot)
+            prints = window_prints(hashes, width)
+            raw = memoryview(prints.tobytes())
             for m, a, n in zip(minimisers[chosen].tolist(), first[chosen].tolist(), count[chosen].tolist(), strict=True):
                 if m in spread:
-                    for i in range(a, a + n):
-                        window = b" ".join(words[i : i + width])
-                        salt = (k1 + k2 + i) % options.salts
+                    salts = (np.arange(a, a + n) + (k1 + k2) % options.salts) % options.salts
+                    buckets = mixed(prints[a : a + n, 0] + salts.astype(np.uint64)).view(np.int64).tolist()
+                    for i, bucket in zip(range(a, a + n), buckets, strict=True):
                         # a spread window has the complement of its place, so that it is known as such
-                        _append(out, xxhash.xxh3_64_intdigest(window, salt) - (1 << 63), k1, k2, ~i, window)
+                        _append(out, bucket, k1, k2, ~i, bytes(raw[i * PRINT_BYTES : (i + 1) * PRINT_BYTES]))
                 else:
-                    _append(out, m, k1, k2, a, b" ".join(words[a : a + n + width - 1]))
+                    _append(out, m, k1, k2, a, bytes(raw[a * PRINT_BYTES : (a + n) * PRINT_BYTES]))
         return out
 
     packed = map_batches(
@@ -114,39 +143,36 @@ def repeated_windows(
     ).repartition("bucket")
 
     def unpack(batch):
-        prints, sizes = [], []
-        for packed in batch["packed"]:
-            blanks = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
-            begin, end = [0, *(blanks + 1).tolist()], [*blanks.tolist(), len(packed)]
-            found = [xxhash.xxh3_128_digest(packed[a:b]) for a, b in zip(begin, end[width - 1 :])]
-            prints += found
-            sizes.append(len(found))
-        first = np.repeat(np.array(batch["start"], np.int32) - np.cumsum([0, *sizes[:-1]]), sizes)
+        sizes = np.fromiter(map(len, batch["packed"]), np.int64, len(batch["packed"])) // PRINT_BYTES
+        prints = np.frombuffer(b"".join(batch["packed"]), np.int64).reshape(-1, 2)
+        first = np.repeat(np.array(batch["start"], np.int64) - (np.cumsum(sizes) - sizes), sizes)
         return {
-            "print": prints,
+            "p1": prints[:, 0],
+            "p2": prints[:, 1],
             "k1": np.repeat(np.array(batch["k1"], np.int64), sizes),
             "k2": np.repeat(np.array(batch["k2"], np.int64), sizes),
             "place": (first + np.arange(len(prints))).astype(np.int32),
         }
 
-    sorted_rows = map_batches(packed, unpack, "print binary, k1 long, k2 long, place int").sortWithinPartitions("print")
-    schema = "k1 long, k2 long, place int, print binary"
+    rows_of_windows = map_batches(packed, unpack, "p1 long, p2 long, k1 long, k2 long, place int")
+    sorted_rows = rows_of_windows.sortWithinPartitions("p1", "p2")
+    schema = "k1 long, k2 long, place int, p1 long, p2 long"
     target = arrow_schema(docs.sparkSession, schema)
 
     def picked(rows: pa.Table, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
         """Repeats without their print; of a spread window also what is left to compare, with it, witnesses without a place."""
-        k1, k2, place = (rows.column(c).to_numpy() for c in ("k1", "k2", "place"))
+        k1, k2, place, p1, p2 = (rows.column(c).to_numpy() for c in ("k1", "k2", "place", "p1", "p2"))
         spread = place < 0
         place = np.where(spread, ~place, place)
         repeat = np.flatnonzero(before | after)
         open_ones = np.flatnonzero(spread & ~before)
-        prints = pa.concat_arrays([
-            pa.nulls(len(repeat), pa.binary()),
-            rows.column("print").combine_chunks().cast(pa.binary()).take(pa.array(open_ones)),
-        ])
         both = np.r_[repeat, open_ones]
         left = np.where(after[open_ones], -1, place[open_ones])
-        return batch_of({"k1": k1[both], "k2": k2[both], "place": np.r_[place[repeat], left], "print": prints}, target)
+        known = np.arange(len(both)) < len(repeat)
+        return batch_of({
+            "k1": k1[both], "k2": k2[both], "place": np.r_[place[repeat], left],
+            "p1": pa.array(p1[both], mask=known), "p2": pa.array(p2[both], mask=known),
+        }, target)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares each print with its neighbours; the last row of a batch is held back until the next is seen."""
@@ -155,8 +181,8 @@ def repeated_windows(
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch] if held is None else [held, batch])
-            raw = np.frombuffer(b"".join(rows.column("print").to_pylist()), "<u8").reshape(-1, 2)
-            same = (raw[1:] == raw[:-1]).all(axis=1)
+            p1, p2 = (rows.column(c).to_numpy() for c in ("p1", "p2"))
+            same = (p1[1:] == p1[:-1]) & (p2[1:] == p2[:-1])
             before = np.r_[seen, same]
             if len(same):
                 yield picked(rows.slice(0, len(same)), before[:-1], same)
@@ -166,9 +192,9 @@ def repeated_windows(
 
     found = written(sorted_rows.mapInArrow(pick, schema), "repeated-windows")
     # at most one row of each bucket, so at most ``salts`` with one print
-    met = F.count("*").over(Window.partitionBy("print"))
-    late = found.filter("print IS NOT NULL").withColumn("met", met).filter("met > 1 AND place >= 0")
-    return found.filter("print IS NULL").select("k1", "k2", "place").unionByName(late.select("k1", "k2", "place"))
+    met = F.count("*").over(Window.partitionBy("p1", "p2"))
+    late = found.filter("p1 IS NOT NULL").withColumn("met", met).filter("met > 1 AND place >= 0")
+    return found.filter("p1 IS NULL").select("k1", "k2", "place").unionByName(late.select("k1", "k2", "place"))
 
 
 def _append(out: dict, *values) -> None:
@@ -177,11 +203,11 @@ def _append(out: dict, *values) -> None:
 
 
 def kept_words(words: list[bytes], places: list[int], window: int) -> list[bytes]:
-    """The words that no window starting at ``places`` covers."""
+    """The words that no window starting at ``places``, different ones, covers."""
     edge = np.zeros(len(words) + 1, np.int64)
     start = np.array(places, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + window, -1)
+    edge[start] += 1  # no place comes twice
+    edge[start + window] -= 1
     bare = np.cumsum(edge[:-1]) == 0
     return [w for w, keep in zip(words, bare.tolist(), strict=True) if keep]
 

@@ -48,7 +48,7 @@ class WordTokenizer:
     The ids of a word do not depend on its neighbours, so each word is encoded once and remembered.
     """
 
-    def __init__(self, path: str, chunk: int = 2_000):
+    def __init__(self, path: str, chunk: int = 500):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,7 +58,7 @@ class WordTokenizer:
 
     def ready(self, words: set[bytes]) -> None:
         """See that all words are in the memo.  A full memo becomes the old one, from which words still come back."""
-        missing = words - self.memo.keys()
+        missing = words.difference(self.memo)  # looks up the words; ``-`` would go through the memo
         if len(self.memo) + len(missing) > GENERATION_WORDS:
             self.old, self.memo, missing = self.memo, {}, words
         kept = missing & self.old.keys()

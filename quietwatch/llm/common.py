@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,13 +21,22 @@ KEPT: dict[str, Callable[[], None]] = {}
 _LAST: list[str] = [""]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker would hold what its largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it, others need not
+    if trim is not None:
+        trim(0)
+
+
 def working_as(kind: str) -> None:
     """Drop what other kinds of work have left in this worker; workers outlive their stage."""
     if _LAST[0] != kind:
         for other, drop in KEPT.items():
             if other != kind:
                 drop()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _LAST[0] = kind
 
 
@@ -73,6 +84,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 yield _batch(function(batch.to_pydict()), target)
+        give_back()
 
     target = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)

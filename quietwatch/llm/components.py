@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quietwatch.llm.common import checkpointed
@@ -11,19 +11,20 @@ from quietwatch.llm.common import checkpointed
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the smallest node that each node of ``links`` can reach.  Nodes without links have no row.
 
-    Every step links neighbours to the smallest node near them; nothing is gathered per node, minima are combined
-    before they move.  The number of steps grows with the logarithm of the longest path.
+    Every step links neighbours to the smallest node near them.  A step is one plan with three shuffles and no join, so
+    the driver plans and tracks little; the links of a node meet in one task as rows of two numbers, which Spark spills.
+    The number of steps grows with the logarithm of the longest path.
     """
-    edges = _tidy(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
-    edges, mark = _kept(edges)
+    near = Window.partitionBy("u")
+    edges, mark = _kept(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        down = _tidy(large.unionByName(low.filter("low < u").select("u", F.col("low").alias("v"))))
-        least = down.groupBy("u").agg(F.min("v").alias("low"))
-        small = down.join(least, "u").filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges, now = _kept(_tidy(small.unionByName(least.select("u", F.col("low").alias("v")))))
+        low = both.withColumn("low", F.least(F.min("v").over(near), "u"))
+        # larger neighbours go to the smallest node, and so does the node itself
+        large = low.filter("v > u OR v = low").select(F.greatest("u", "v").alias("u"), F.col("low").alias("v"))
+        least = large.withColumn("least", F.min("v").over(near))
+        small = least.select(F.when(F.col("v") > F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v"))
+        edges, now = _kept(small)
         if now == mark:
             break
         mark = now
@@ -39,7 +40,8 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, cut from their lineage, and a mark that changes when they do."""
-    edges = checkpointed(edges)
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return edges, (row["n"], row["h"])
+    """The edges, each pair once and cut from their lineage, and a mark that changes when they do."""
+    seen = Observation()
+    mark = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    edges = checkpointed(_tidy(edges).observe(seen, *mark))
+    return edges, (seen.get["n"], seen.get["h"])

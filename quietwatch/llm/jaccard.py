@@ -278,13 +278,21 @@ def _crowded(members: DataFrame) -> DataFrame:
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "class")).alias(f"mark{k}") for k in (1, 2)]
     ends = [F.min("class").alias("low"), F.max("class").alias("high")]
     sizes = members.groupBy("seed").agg(F.count("*").alias("size"), *ends, *marks).filter("size > 1")
-    regions = checkpointed(sizes.groupBy("size", "low", "high", "mark1", "mark2").agg(F.min("seed").alias("seed")))
-    alike = regions.groupBy("low", "high").agg(F.count("*").alias("met"), F.max("size").alias("most"), F.min("seed").alias("into"))
-    moved = regions.join(alike.filter("met > 1"), ["low", "high"]).select("seed", "into", "most")
+    regions = sizes.groupBy("size", "low", "high", "mark1", "mark2").agg(F.min("seed").alias("seed"))
+    alike = Window.partitionBy("low", "high")
+    regions = checkpointed(
+        regions.select(
+            "seed",
+            F.count("*").over(alike).alias("met"),
+            F.max("size").over(alike).alias("most"),
+            F.min("seed").over(alike).alias("into"),
+        )
+    )
+    moved = regions.filter("met > 1").select("seed", "into", "most")
     union = members.join(moved, "seed").groupBy("into", "class").agg(F.first("most").alias("most"))
     narrow = union.groupBy("into").agg(F.count("*").alias("held"), F.first("most").alias("most")).filter("held <= 2 * most")
-    moved = moved.select("seed", "into").join(narrow.select("into"), "into")
-    kept = regions.select("seed").join(moved, "seed", "left").withColumn("into", F.coalesce("into", "seed"))
+    kept = regions.select("seed", "into").join(narrow.select("into", "held"), "into", "left")
+    kept = kept.select("seed", F.when(F.col("held").isNull(), F.col("seed")).otherwise(F.col("into")).alias("into"))
     return checkpointed(members.join(kept, "seed").select(F.col("into").alias("seed"), "class", "n").distinct())
 
 

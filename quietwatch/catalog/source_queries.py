@@ -781,7 +781,7 @@ def stream_import(spark, sf_dir):
     WHERE later > due OR (later IS NULL AND due < (SELECT max(epoch_us(ts) // 1000) FROM events))""",
 )
 def stream_deadlines(spark, sf_dir):
-    """Silences that hold after a stream of four files, each with reports of the whole month: nearly all are late."""
+    """Silences that hold after a stream of four batches, each with reports of the whole month: nearly all are late."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -798,14 +798,9 @@ def stream_deadlines(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("received_at"),
     )
     landed = scratch_path(spark, "stream-in")
-    part = F.pmod(F.xxhash64("device_ref", "at_ms"), F.lit(4)).alias("part")
-    reports.select("*", part).repartition(4, "part").write.partitionBy("part").parquet(landed)
-    stream = (
-        spark.readStream.schema(reports.schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(landed)
-    )
+    per_batch = max(1, -(-_file_count(spark, sf_dir) // 4))
+    reports.repartition(4 * per_batch, F.xxhash64("device_ref", "at_ms")).write.parquet(landed)
+    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", per_batch).parquet(landed)
     out = scratch_path(spark, "stream-out")
     _run_to_table(deadline.monitor_deadlines(deadline.on_clock(stream, "received_at"), keep_days=None), out)
     return deadline.current_episodes(spark.read.schema(deadline.OUTPUT_SCHEMA).parquet(out))

@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,10 +25,16 @@ OUTPUT_SCHEMA = (
 )
 _REPORT = "device_ref", "at_ms", "deadline_ms"
 _EDGE_SCHEMA = (
-    "last_ms bigint, deadline_ms bigint, is_open boolean, seq bigint, floor_ms bigint, floor_deadline_ms bigint"
+    "last_ms bigint, deadline_ms bigint, is_open boolean, seq bigint, floor_ms bigint, floor_deadline_ms bigint,"
+    " parts binary"
 )
+_CHANGE = Row("device_ref", "seq", "action", "start_ms", "end_ms", "deadline_ms")
 DAY_MS = 86_400_000
 KEEP_DAYS = 30
+#: Reports in a part of a device's history, at most.
+PART_REPORTS = 2_048
+#: What a report without a time or deadline counts as.
+NO_TIME = np.iinfo(np.int64).min
 
 
 def on_clock(reports: DataFrame, clock: str | Column, delay: str = "0 seconds") -> DataFrame:
@@ -75,7 +80,11 @@ def _gaps(at: np.ndarray, due: np.ndarray) -> dict[int, tuple[int | None, int]]:
 
 
 class DeadlineMonitor(StatefulProcessor):
-    """History of a device by day, and its last report with a timer on its deadline.
+    """History of a device in parts, and its last report with a timer on its deadline.
+
+    A part holds a run of at most ``PART_REPORTS`` reports; the edge lists the parts by number and first instant.  Each
+    call to the state store is a round trip, so a batch reads and writes only the parts its reports fall into, most
+    often one: what lies beside a part is known from the list.
 
     Reports are kept for ``keep_days`` before the clock, and the one before them.  A report older than that changes
     nothing and leaves as ``too_late``, so it can be handled by a batch.  ``keep_days`` of None keeps all.
@@ -87,61 +96,83 @@ class DeadlineMonitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._edge = handle.getValueState("edge", _EDGE_SCHEMA)
-        self._days = handle.getMapState("days", "day bigint", "reports binary")
+        self._parts = handle.getMapState("parts", "part bigint", "reports binary")
 
-    def _load(self, days: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(bytes(self._days.getValue((d,))[0]), np.int64).reshape(-1, 2) for d in days]
-        both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    def _load(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(bytes(self._parts.getValue((int(part),))[0]), np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
-    def _store(self, at: np.ndarray, due: np.ndarray, days: np.ndarray) -> None:
-        of_day = at // DAY_MS
-        for day in days.tolist():
-            own = of_day == day
-            self._days.updateValue((day,), (np.column_stack([at[own], due[own]]).tobytes(),))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _store(self, part: int, at: np.ndarray, due: np.ndarray) -> None:
+        self._parts.updateValue((int(part),), (np.column_stack([at, due]).tobytes(),))
+
+    def _forget(self, parts: np.ndarray, cut: int) -> tuple[np.ndarray, int, int]:
+        """The list of parts without the reports before ``cut``, and the last one of these."""
+        n = int(np.searchsorted(parts[:, 1], cut))
+        for part in parts[: n - 1, 0].tolist():
+            self._parts.removeKey((part,))
+        at, due = self._load(parts[n - 1, 0])
+        gone = int(np.searchsorted(at, cut))
+        rest = parts[n:]
+        if gone < len(at):
+            self._store(parts[n - 1, 0], at[gone:], due[gone:])
+            rest = np.concatenate([[[parts[n - 1, 0], at[gone]]], rest])
+        else:
+            self._parts.removeKey((int(parts[n - 1, 0]),))
+        return rest, int(at[gone - 1]), int(due[gone - 1])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         (device,) = key
-        pdf = pd.concat(list(rows))
-        at, due = _distinct(pdf["at_ms"].to_numpy(np.int64), pdf["deadline_ms"].to_numpy(np.int64))
-        edge = self._edge.get() if self._edge.exists() else (None, None, False, 0, None, None)
-        last, deadline, is_open, seq, floor, floor_due = edge
+        read = [(NO_TIME if r.at_ms is None else r.at_ms, NO_TIME if r.deadline_ms is None else r.deadline_ms) for r in rows]
+        at, due = _distinct(*np.array(read, np.int64).T)
+        edge = self._edge.get() or (None, None, False, 0, None, None, b"")
+        last, deadline, is_open, seq, floor, floor_due, listed = edge
+        parts = np.frombuffer(bytes(listed), np.int64).reshape(-1, 2)
         out = []
 
         def put(action, start, end=None, due_at=None):
             nonlocal seq
             seq += 1
-            out.append((device, seq, action, start, end, due_at))
+            out.append(_CHANGE(device, seq, action, start, end, due_at))
 
-        stored = sorted(d for (d,) in self._days.keys())
         clock = timerValues.getCurrentWatermarkInMs()
         if self.keep_days is not None and last is not None and clock > 0:
-            horizon = clock // DAY_MS - self.keep_days
-            gone = [d for d in stored if d < horizon and d < last // DAY_MS]
-            if gone:
-                old_at, old_due = self._load(gone[-1:])
-                floor, floor_due = int(old_at[-1]), int(old_due[-1])
-                for d in gone:
-                    self._days.removeKey((d,))
-                stored = stored[len(gone) :]
+            cut = min(clock // DAY_MS - self.keep_days, last // DAY_MS) * DAY_MS
+            if len(parts) and parts[0, 1] < cut:
+                parts, floor, floor_due = self._forget(parts, cut)
             if floor is not None:
                 early = at <= floor
                 for t in at[early].tolist():
                     put("too_late", t)
                 at, due = at[~early], due[~early]
         if len(at):
-            # the days the batch touches, and the nearest ones with reports before and after them
-            first_day, last_day = at[0] // DAY_MS, at[-1] // DAY_MS
-            near = [d for d in stored if first_day <= d <= last_day]
-            near = [d for d in stored if d < first_day][-1:] + near + [d for d in stored if d > last_day][:1]
-            old_at, old_due = self._load(near)
-            if floor is not None and (not near or near[0] == stored[0]):
-                old_at, old_due = np.append(floor, old_at), np.append(floor_due, old_due)
-            new_at, new_due = _distinct(np.append(old_at, at), np.append(old_due, due))
-            before, after = _gaps(old_at, old_due), _gaps(new_at, new_due)
+            before, after, listing = {}, {}, []
             newest, newest_due = last, deadline
-            if last is None or new_at[-1] >= last:
-                newest, newest_due = int(new_at[-1]), int(new_due[-1])
+            number = int(parts[:, 0].max()) + 1 if len(parts) else 0
+            place = np.maximum(np.searchsorted(parts[:, 1], at, "right") - 1, 0)
+            for k in range(max(len(parts), 1)):
+                own = place == k
+                if not own.any():
+                    listing.append(parts[k : k + 1])
+                    continue
+                old_at, old_due = self._load(parts[k, 0]) if len(parts) else (at[:0], due[:0])
+                new_at, new_due = _distinct(np.append(old_at, at[own]), np.append(old_due, due[own]))
+                # long parts are halved until none is too long; the first piece keeps the number
+                pieces = -(-len(new_at) // PART_REPORTS)
+                cuts = [len(new_at) * i // pieces for i in range(pieces + 1)]
+                for i in range(pieces):
+                    piece = slice(cuts[i], cuts[i + 1])
+                    name = parts[k, 0] if len(parts) and not i else number
+                    number += name == number
+                    self._store(name, new_at[piece], new_due[piece])
+                    listing.append(np.array([[name, new_at[cuts[i]]]], np.int64))
+                if k + 1 >= len(parts):
+                    if last is None or new_at[-1] >= last:
+                        newest, newest_due = int(new_at[-1]), int(new_due[-1])
+                ends = [(floor, floor_due)] if floor is not None and not k else []
+                starts = [(int(parts[k + 1, 1]), 0)] if k + 1 < len(parts) else []
+                before |= _gaps(*_between(ends, old_at, old_due, starts))
+                after |= _gaps(*_between(ends, new_at, new_due, starts))
+            parts = np.concatenate(listing)
             still = is_open and (newest, newest_due) == (last, deadline)
             if is_open:
                 before[last] = (None, deadline)
@@ -152,33 +183,36 @@ class DeadlineMonitor(StatefulProcessor):
                     put("withdrawn", start, None, before[start][1])
                 elif after[start] != before.get(start):
                     put("recovered", start, *after[start])
-            kept = new_at != floor if floor is not None else np.ones(len(new_at), bool)
-            self._store(new_at[kept], new_due[kept], np.unique(at // DAY_MS))
             if not still:
-                for timer in list(self._handle.listTimers()):
-                    self._handle.deleteTimer(timer)
-                self._handle.registerTimer(newest_due)
+                # an open silence has had its timer; otherwise one waits for the deadline
+                waits = last is not None and not is_open
+                if waits and deadline != newest_due:
+                    self._handle.deleteTimer(deadline)
+                if not waits or deadline != newest_due:
+                    self._handle.registerTimer(newest_due)
             last, deadline, is_open = newest, newest_due, still
         if last is not None:
-            self._edge.update((last, deadline, is_open, seq, floor, floor_due))
-        yield _frame(out)
+            self._edge.update((last, deadline, is_open, seq, floor, floor_due, parts.tobytes()))
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         (device,) = key
-        last, deadline, is_open, seq, *floor = self._edge.get()
+        last, deadline, is_open, seq, *rest = self._edge.get()
         if is_open or expiredTimerInfo.getExpiryTimeInMs() < deadline:
             return
-        self._edge.update((last, deadline, True, seq + 1, *floor))
-        yield _frame([(device, seq + 1, "opened", last, None, deadline)])
+        self._edge.update((last, deadline, True, seq + 1, *rest))
+        yield _CHANGE(device, seq + 1, "opened", last, None, deadline)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["device_ref", "seq", "action", "start_ms", "end_ms", "deadline_ms"]
-    kinds = dict.fromkeys(names, "Int64") | {"device_ref": "object", "action": "object"}
-    return pd.DataFrame(rows, columns=names).astype(kinds)
+def _between(ends: list, at: np.ndarray, due: np.ndarray, starts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The reports of a part with the one before it, if any, and the one after it."""
+    if not ends and not starts:
+        return at, due
+    first, last = (np.array(x, np.int64).reshape(-1, 2) for x in (ends, starts))
+    return np.concatenate([first[:, 0], at, last[:, 0]]), np.concatenate([first[:, 1], due, last[:, 1]])
 
 
 def monitor_deadlines(reports: DataFrame, keep_days: int | None = KEEP_DAYS) -> DataFrame:
@@ -189,7 +223,7 @@ def monitor_deadlines(reports: DataFrame, keep_days: int | None = KEEP_DAYS) ->
     The session must use the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return reports.groupBy("device_ref").transformWithStateInPandas(
+    return reports.groupBy("device_ref").transformWithState(
         statefulProcessor=DeadlineMonitor(keep_days),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",

@@ -65,15 +65,58 @@ class JaccardOptions:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted different hashes of runs of words, A-Z in lower case; a shorter text is one run."""
-    found = text.encode("utf-8", "replace").lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(found)
+    h = hashed_words(text.encode("utf-8", "replace")) if text else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     if len(h) >= words:
-        return np.unique(gram_hashes(h, words))
+        grams = np.sort(gram_hashes(h, words))
+        return grams[np.append(True, grams[1:] != grams[:-1])]
     return mixed(gram_hashes(h, len(h)) ^ np.uint64(len(h)))
 
 
+#: Bytes whose words are hashed at a time; a word at least that long is hashed by itself.
+PIECE = 1 << 14
+#: A-Z in lower case, each blank as a space.
+_FOLDED = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\r\v\f", b"     "))
+_BASE = 0xD6E8FEB86659FD93
+_UP, _DOWN = (
+    np.multiply.accumulate(np.array([1] + [k] * PIECE, np.uint64)) for k in (_BASE, pow(_BASE, -1, 1 << 64))
+)
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z as a-z.
+
+    A word is a polynomial of its bytes, each plus one.  Those of all words come from one sum along the text, so there is
+    no call for each word.
+    """
+    text = text.translate(_FOLDED)
+    raw = np.frombuffer(text, np.uint8)
+    found, start = [], 0
+    while start < len(raw):
+        part = raw[start : start + PIECE]
+        if len(part) == PIECE:
+            size = text.rfind(b" ", start, start + PIECE) + 1 - start
+            if size <= 0:
+                end = text.find(b" ", start + PIECE)
+                stop = len(raw) if end < 0 else end
+                found.append(word_hashes([text[start:stop]]))
+                start = stop
+                continue
+            part = part[:size]
+        start += len(part)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)], out=total[1:])
+        blank = np.ones(len(part) + 2, bool)
+        np.equal(part, ord(" "), out=blank[1:-1])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        first, last = edges[::2], edges[1::2]
+        found.append(mixed((total[last] - total[first]) * _DOWN[first]))
+    if len(found) == 1:
+        return found[0]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def window_size(n: int) -> int:
     """Among so many first elements any set with similarity 0.8 or more shares one."""
     return n // 5 + 1
@@ -83,8 +126,15 @@ def stored_size(n: int) -> int:
     return min(n, window_size(n) + n // 8 + 1)
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are known; the known ones are in order, so very many of them cost little more than few."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def seeds_of(first: np.ndarray, n: int, busy: np.ndarray) -> np.ndarray:
-    """The seeds of one document from its first shingles.
+    """The seeds of one document from its first shingles; ``busy`` is in order.
 
     A document that skips h busy ones, h at most n // 10, has a window h longer.  For two such sets with hx <= hy the
     first window_size + hx shingles of both share at least 1 + hx, at most hx of them skipped by x; so one is a seed
@@ -93,7 +143,7 @@ def seeds_of(first: np.ndarray, n: int, busy: np.ndarray) -> np.ndarray:
     Two documents of the latter kind meet in their plain windows, busy shingles included.
     """
     size = window_size(n)
-    is_busy = np.isin(first, busy, assume_unique=True)
+    is_busy = among(first, busy)
     plain = first[~is_busy]
     if size <= np.count_nonzero(~is_busy[: size + n // 10]):
         return plain[:size]
@@ -210,14 +260,17 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
     sets = read_sets(docs, id_col, text_col, options)
     full = sets.filter("n > 0")
     classes = checkpointed(
-        full.groupBy("c1", "c2").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+        full.groupBy("c1", "c2").agg(
+            F.min("row").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("held")
+        )
     )
+    firsts = _one_of_each(full, classes, options)
 
     def plain(batch):
         return {"seed": np.concatenate([_seeds(f)[: window_size(n)] for f, n in zip(batch["first"], batch["n"], strict=True)]).view(np.int64)}
 
     counted = (
-        map_batches(full.select("n", "first"), plain, "seed long")
+        map_batches(firsts.select("n", "first"), plain, "seed long")
         .groupBy("seed").count().filter(F.col("count") >= options.busy)
         .orderBy(F.desc("count"), "seed").limit(options.busy_seeds)
     )
@@ -231,30 +284,31 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, options: JaccardOption
             seeds_of(_seeds(f), n, busy.value)
             for f, n in zip(batch["first"], batch["n"], strict=True)
         ]
+        held = [len(s) for s in found]
         return {
             "seed": np.concatenate(found).view(np.int64),
-            "row": np.repeat(np.array(batch["row"], np.int64), [len(s) for s in found]),
+            "class": np.repeat(np.array(batch["row"], np.int64), held),
+            "n": np.repeat(np.array(batch["n"], np.int32), held),
         }
 
-    # one shuffle by seed; a seed that only one document has ends here
+    # one shuffle by seed; a seed that only one class has ends here
     of_seed = Window.partitionBy("seed")
-    copies = map_batches(full.select("row", "n", "first"), place, "seed long, row long")
+    copies = map_batches(firsts.select("row", "n", "first"), place, "seed long, class long, n int")
     shared = (
-        copies.withColumn("low", F.min("row").over(of_seed))
-        .withColumn("high", F.max("row").over(of_seed))
+        copies.withColumn("low", F.min("class").over(of_seed))
+        .withColumn("high", F.max("class").over(of_seed))
         .filter("low < high")
-        .select("seed", "row")
+        .select("seed", "class", "n")
     )
-    of_row = full.select("row", "c1", "c2").join(classes.select("c1", "c2", "class", "n"), ["c1", "c2"])
-    members = shared.join(of_row.select("row", "class", "n"), "row").select("seed", "class", "n").distinct()
-    members = _crowded(members)
+    members = _crowded(shared)
     wanted = members.select(F.col("class").alias("row")).distinct()
-    parity, items = _whole_sets(docs, sets, wanted, id_col, text_col, options)
+    names = checkpointed(sets.select("row", _key("doc_id"), "print", "parity").join(wanted, "row"))
+    parity, items = names.select("row", "parity"), _WholeSets(docs, names, id_col, text_col, options)
     roots = connected(_recursion(parity, items, members, options))
     if count:
         kin = roots.withColumnRenamed("node", "class").join(classes.select("class", "n"), "class")
         degree = checkpointed(_degrees(items, kin, options))
-    items.unpersist()
+    items.drop()
 
     named = classes.select("class", "c1", "c2", "least").join(
         roots.withColumnRenamed("node", "class"), "class", "left"
@@ -296,25 +350,67 @@ def _crowded(members: DataFrame) -> DataFrame:
     return checkpointed(members.join(kept, "seed").select(F.col("into").alias("seed"), "class", "n").distinct())
 
 
-def _whole_sets(docs, sets, wanted, id_col, text_col, options) -> tuple[DataFrame, DataFrame]:
-    """``row, parity`` and ``row, items`` of the wanted classes; the latter lie partitioned by ``row``.
+def _one_of_each(full: DataFrame, classes: DataFrame, options: JaccardOptions) -> DataFrame:
+    """``row, n, first`` of one document of each class, the one that names it.
 
-    Their texts are read again: to store every document's set would take twice the input.  Rows equal in id and text
-    make equal rows here.
+    Up to ``broadcast_rows`` rows that stay or go are broadcast; beyond it the rows are shuffled once.
     """
-    key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("key")
-    names = checkpointed(sets.select("row", key("doc_id"), "print", "parity").join(wanted, "row"))
-    texts = docs.select(key(id_col), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    small = names.select("key", "print", "row")
-    if names.count() <= options.broadcast_rows:
-        small = F.broadcast(small)
+    firsts = full.select("row", "n", "first")
+    rows, kept = classes.agg(F.coalesce(F.sum("held"), F.lit(0)), F.count("*")).first()
+    if rows == kept:
+        return firsts
+    stay = classes.select(F.col("class").alias("row"))
+    if min(rows - kept, kept) > options.broadcast_rows:
+        return written(firsts.join(stay, "row", "left_semi"), "shingle-classes")
+    if kept < rows - kept:
+        return firsts.join(F.broadcast(stay), "row", "left_semi")
+    again = classes.filter("held > 1").select("c1", "c2", "class")
+    gone = checkpointed(full.select("row", "c1", "c2").join(again, ["c1", "c2"]).filter("row > class").select("row"))
+    return firsts.join(F.broadcast(gone), "row", "left_anti")
+
+
+def _key(name: str):
+    return F.xxhash64(F.col(name).cast("string")).alias("key")
+
 
-    def build(batch):
-        return {"row": batch["row"], "items": [shingles(t, options.words).tobytes() for t in batch["text"]]}
+class _WholeSets:
+    """``row, items`` of classes, made from their texts when they are asked for, once for each class.
 
-    built = map_batches(texts.join(small, ["key", "print"]).select("row", "text"), build, "row long, items binary")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return names.select("row", "parity"), built.repartition(partitions, "row").persist()
+    To store every document's set would take twice the input, and most classes are never compared.  ``names`` has
+    ``row, key, print`` of the documents.  Rows equal in id and text make equal rows here.
+    """
+
+    def __init__(self, docs: DataFrame, names: DataFrame, id_col: str, text_col: str, options: JaccardOptions):
+        self._texts = docs.select(_key(id_col), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+        self._names, self._options = names.select("key", "print", "row"), options
+        self._parts: list[tuple[DataFrame, DataFrame]] = []
+
+    def of(self, rows: DataFrame) -> DataFrame | None:
+        """The sets of these rows and of all asked for before; None if there are none."""
+        for known, _ in self._parts:
+            rows = rows.join(known, "row", "left_anti")
+        new = checkpointed(self._names.join(rows.distinct(), "row"))
+        number = new.count()
+        if number:
+            spark, words = new.sparkSession, self._options.words
+
+            def build(batch):
+                return {"row": batch["row"], "items": [shingles(t, words).tobytes() for t in batch["text"]]}
+
+            small = F.broadcast(new) if number <= self._options.broadcast_rows else new
+            built = map_batches(
+                self._texts.join(small, ["key", "print"]).select("row", "text"), build, "row long, items binary"
+            )
+            partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._parts.append((new.select("row").distinct(), built.repartition(partitions, "row").persist()))
+        found = None
+        for _, part in self._parts:
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def drop(self) -> None:
+        for _, part in self._parts:
+            part.unpersist()
 
 
 def _recursion(parity, items, members, options) -> DataFrame:
@@ -446,6 +542,10 @@ def _distances(parity, items, pairs) -> DataFrame:
     bounded = checkpointed(map_batches(sized, bound, "a long, b long, distance double"))
     far = F.col("distance") > 0.2 + 1e-9
     near = bounded.filter(~far).select("a", "b")
+    known = bounded.filter(far).withColumn("exact", F.lit(False))
+    items = items.of(near.select(F.explode(F.array("a", "b")).alias("row")))
+    if items is None:
+        return known
 
     both = near.join(items.select(F.col("row").alias("b"), F.col("items").alias("items_b")), "b").join(
         items.select(F.col("row").alias("a"), F.col("items").alias("items_a")), "a"
@@ -462,7 +562,7 @@ def _distances(parity, items, pairs) -> DataFrame:
         return out
 
     exact = map_batches(both, compare, "a long, b long, distance double").distinct().withColumn("exact", F.lit(True))
-    return exact.unionByName(bounded.filter(far).withColumn("exact", F.lit(False)))
+    return exact.unionByName(known)
 
 
 #: Classes and shingles of a tile: pairs are compared tile by tile.
@@ -540,6 +640,10 @@ def _degrees(items: DataFrame, kin: DataFrame, options: JaccardOptions) -> DataF
     blocks = F.greatest(by_rows, F.ceil(F.col("weight") / options.count_items)).cast("int")
     placed = checkpointed(kin.join(parts.select("root", "held", blocks.alias("blocks")), "root"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    in_pair = placed.filter("held = 2").select("class", F.lit(1).cast("long").alias("n_links"))
+    items = items.of(placed.filter("held > 2").select(F.col("class").alias("row")))
+    if items is None:
+        return in_pair
     tasks = (
         placed.filter("held > 2")
         .select("root", "class", "blocks", own.alias("own"))
@@ -550,7 +654,7 @@ def _degrees(items: DataFrame, kin: DataFrame, options: JaccardOptions) -> DataF
     )
     keys = ["root", "i", "j"]
     schema = "class long, n_links long"
-    target = arrow_schema(items.sparkSession, schema)
+    target = arrow_schema(kin.sparkSession, schema)
 
     def run(batches):
         rows = (r for batch in batches for r in batch.to_pylist())
@@ -572,5 +676,4 @@ def _degrees(items: DataFrame, kin: DataFrame, options: JaccardOptions) -> DataF
             yield batch_of({"class": np.concatenate(ids), "n_links": np.concatenate(counts)}, target)
 
     counted = tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-    in_pair = placed.filter("held = 2").select("class", F.lit(1).cast("long").alias("n_links"))
     return counted.unionByName(in_pair).groupBy("class").agg(F.sum("n_links").alias("n_links"))
